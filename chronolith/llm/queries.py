@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, sharding
+from . import bpe, language, license_scan, line_dedup, media, mixing, sharding
 from .shared import table
 
 
@@ -48,5 +48,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe, op6_line_dedup, op7_media, op8_sharding)}
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda x: x["start"])
+    base, more = F.transform("base", lambda x: x["label"]), F.transform("spans", lambda x: x["label"])
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda x: x["share"])), F.lit(0.0)))
+    return d.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"), score.alias("score"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return d.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe, op6_line_dedup, op7_media, op8_sharding, op9_license, op10_langid)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
