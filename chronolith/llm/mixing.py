@@ -63,17 +63,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     return per.select("source", "sidx", "n_rows", "source_size", "weight", F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(free).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS, slice_rows: int = SLICE_ROWS, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, token_start of every row of `docs`.
 
     `taken` is the number of tokens the mix reads from the row: whole epochs
     times its size, plus its part of the last epoch up to the source's budget
     (the target's whole tokens), so a source's taken tokens equal its budget.
     Null text or no words: size 0, taken 0. A null source is a source. Repeated
-    rows count as often as they stand. Only doc_id, text and source are read. An
+    rows count as often as they stand. Only doc_id, text, source and the columns in `carry` are read; the latter pass through. An
     empty table gives an empty result.
     """
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(carry or [])), "mix-sizes")
     per = cut(source_targets(sizes, weights, share_percent, most), "mix-sources").withColumnRenamed("source", "src")
     slices = F.ceil(F.col("n_rows") / F.lit(slice_rows)).cast("long")
     keyed = sizes.join(per, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("key", random_key(F.col("doc_id")))
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
         .withColumn("left_over", budget - F.col("epochs") * F.col("source_size"))
     )
     part = F.least(F.greatest(F.col("left_over") - F.col("token_start"), F.lit(0).cast("long")), F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source", "token_start")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source", "token_start", *(carry or []))
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, license_scan, line_dedup, media, mixing, sharding
+from . import bpe, language, license_scan, line_dedup, media, mixing, neighbours, ngram_join, quality, sharding
 from .shared import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(bpe.TOKENIZER)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.grade(docs, model).drop("text")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -62,5 +76,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe, op6_line_dedup, op7_media, op8_sharding, op9_license, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_bpe, op4_ann, op5_quality, op6_line_dedup, op7_media, op8_sharding, op9_license, op10_langid)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
