@@ -41,4 +41,4 @@ def resume(samples: DataFrame, previous: DataFrame, old_settings: DataFrame, new
     """Samples still to be run; settings that differ from the earlier run's raise when it is read."""
     problem = runs.resumable(old_settings, new_settings).agg(F.min(F.concat_ws(": ", "key", "problem")).alias("_problem"))
     left = lookups.remaining(samples, previous, ["id"]).join(F.broadcast(problem))  # one row
-    return left.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error("_problem").cast("boolean"))).drop("_problem")
+    return left.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_problem")).cast("boolean"))).drop("_problem")

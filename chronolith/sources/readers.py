@@ -62,7 +62,7 @@ def checked(samples: DataFrame) -> DataFrame:
     """`samples`, or an error when they're read that names the first problem."""
     first = manifest_problems(samples).agg(F.min(F.concat_ws(": ", "id", "problem")).alias("_problem"))
     d = samples.join(F.broadcast(first))  # one row
-    return d.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error("_problem").cast("boolean"))).drop("_problem")
+    return d.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_problem")).cast("boolean"))).drop("_problem")
 
 
 def selected(samples: DataFrame, split: str | None = None, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
