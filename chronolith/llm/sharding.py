@@ -113,4 +113,4 @@ def document_shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 def prunable(sharded: DataFrame, column: str, value) -> DataFrame:
     """shard and whether its range of `column` rules out `value`: what a reader with min/max statistics skips."""
     lo, hi = F.min(column), F.max(column)
-    return sharded.groupBy("shard").agg(~((lo <= F.lit(value)) & (hi >= F.lit(value))).alias("skipped"))
+    return sharded.groupBy("shard").agg((~((lo <= F.lit(value)) & (hi >= F.lit(value)))).alias("skipped"))
