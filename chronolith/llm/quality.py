@@ -75,7 +75,7 @@ class Grader:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, n_grades: int, rounds: int = 150, decay: float = 0.5, step: float = 0.15) -> Grader:
+def fit(rows: list[list[int]], grades: np.ndarray, n_grades: int, rounds: int = 200, decay: float = 1.0, step: float = 0.15) -> Grader:
     """Minimise the negative log-likelihood plus decay/2 |w|^2 a row, by Adam over all rows; thresholds keep their order by construction."""
     n = len(rows)
     sizes = np.fromiter(map(len, rows), np.int64, n)
