@@ -21,8 +21,8 @@ from .media import _pieces
 
 DIM = 1 << 13
 #: Bounds of the training sample: rows of each language, and rows in all.
-PER_LANGUAGE = 800
-MOST_ROWS = 8000
+PER_LANGUAGE = 500
+MOST_ROWS = 4000
 MIN_BITS = 15
 AMBIGUOUS = 0.1
 UND = "und"
@@ -152,15 +152,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
                 ["lang", "doc_id", "cells", "counts"],
             )
 
-    got = sample.mapInArrow(run, "lang string, doc_id long, cells array<int>, counts array<float>").toArrow().to_pydict()
-    if not got["lang"]:
+    got = sample.mapInArrow(run, "lang string, doc_id long, cells array<int>, counts array<float>").toArrow()
+    if not got.num_rows:
         return None
-    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["doc_id"][i] is None, got["doc_id"][i] or 0, got["cells"][i]))[: 2 * most_rows]
+    got = {"lang": got.column("lang").to_pylist(), "doc_id": got.column("doc_id").to_pylist(), "cells": [v.values.to_numpy() for v in got.column("cells")], "counts": [v.values.to_numpy() for v in got.column("counts")]}
+    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["doc_id"][i] is None, got["doc_id"][i] or 0, got["cells"][i].tobytes()))[: 2 * most_rows]
     languages = sorted(set(got["lang"]))
-    x = np.zeros((len(order), DIM), np.float32)
+    x = np.zeros((len(order), DIM), np.float32)  # the one large array here; rows are scaled in place
     for row, i in enumerate(order):
-        x[row, got["cells"][i]] = got["counts"][i]
-    return fit(scaled(x), np.array([languages.index(got["lang"][i]) for i in order]), languages)
+        x[row, got["cells"][i]] = np.sqrt(np.asarray(got["counts"][i], np.float32) / np.float32(sum(got["counts"][i])))
+    return fit(x, np.array([languages.index(got["lang"][i]) for i in order]), languages)
 
 
 def predict(docs: DataFrame, model: Coder | None, ambiguous: float = AMBIGUOUS) -> DataFrame:
