@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .media import _pieces
+from .shared import smallest_hashes
 
 DIM = 1 << 13
 #: Bounds of the training sample: rows of each language, and rows in all.
@@ -139,7 +140,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
     """
     d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rank = d.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
+    counts = [x for r in d.groupBy("lang").count().collect() for x in (r["lang"], float(r["count"]))]  # a row for each language, as the model has
+    if not counts:
+        return None
+    share = F.lit(float(per_language)) / F.element_at(F.create_map(*map(F.lit, counts)), F.col("lang"))
+    rank = smallest_hashes(d, F.col("doc_id"), share).select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
     few = rank.orderBy("rank", "lang").limit(most_rows).select(F.col("doc_id").alias("_id")).distinct()
     sample = d.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "lang", "text")
 

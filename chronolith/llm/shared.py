@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -44,3 +45,13 @@ def release(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def smallest_hashes(df: DataFrame, key: Column, share: Column | float, slack: float = 2.0) -> DataFrame:
+    """The rows whose hash of `key` lies in the lowest `slack` * `share` of all hashes.
+
+    What an order by that hash with a limit of `share` of the rows would take is
+    among them, so such a sample neither sorts nor gathers more than it returns.
+    """
+    place = (F.xxhash64(key).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return df.where(place <= F.lit(slack) * (F.lit(share) if isinstance(share, float) else share))
