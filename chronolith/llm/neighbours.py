@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, smallest_hashes
 
 EVERY = 50
 K = 5
@@ -148,7 +148,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     dim = length[0]["n"]
     groups = cut(_members(d.where(F.size("embedding") == dim), k), "vectors")
     n_groups = groups.count()
-    sample = groups.orderBy(F.xxhash64("h"), "embedding").limit(SAMPLE).select("embedding").toArrow()
+    lowest = smallest_hashes(groups, F.col("h"), SAMPLE / max(n_groups, 1))
+    sample = lowest.orderBy(F.xxhash64("h"), "embedding").limit(SAMPLE).select("embedding").toArrow()
     index = fit(_vectors(sample.column("embedding")), n_groups, k)
     shared = spark.sparkContext.broadcast(index)
 

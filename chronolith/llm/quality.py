@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .media import _pieces
+from .shared import smallest_hashes
 
 BITS = 18
 #: Bound of the training sample, in rated rows.
@@ -117,7 +118,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, most_rows: int = M
     that is rated twice counts twice.
     """
     r = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    few = r.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_rows)
+    few = smallest_hashes(r, F.col("doc_id"), most_rows / max(r.count(), 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def run(batches):
