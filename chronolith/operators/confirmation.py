@@ -71,3 +71,8 @@ def proposals(events: DataFrame, duration: Column, min_confidence: float = C.MIN
     core = source_core(F.col("cand_start"), F.col("cand_end"), F.col("event_start"), F.col("event_end"), duration)
     d = events.withColumn("core", core)
     return d.withColumn("status", F.when(F.col("confidence") < min_confidence, "low_confidence").when(F.col("core").isNull(), "invalid_event_core").otherwise("accepted"))
+
+
+def provenance(proposals: DataFrame, *fields: str) -> DataFrame:
+    """`proposals` with a struct of the fields that a report keeps of each."""
+    return proposals.withColumn("provenance", F.struct(*(F.col(f).alias(f.split(".")[-1]) for f in fields)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import as_bool, as_confidence, clean_html, clock_seconds, json_object, json_object_or_summary, license_matches, message_text, ratio, retry_after_seconds, retryable_download, retryable_model, safe_name
+from ..functions import as_bool, as_confidence, clean_html, clock_seconds, fixed, json_object, json_object_or_summary, license_matches, message_text, ratio, retry_after_seconds, retryable_download, retryable_model, safe_name
+from ..functions.prompts import candidate_note
 from ..operators import confirmation, lookups, matching, metrics, reviews, runs
 from ..sources import readers
 from .stand_ins import CONF, FRAMES, IOU, PROPOSALS, SIDES, R, frames, proposals, query, table, truth_and_predictions
@@ -395,3 +396,32 @@ def k_cut_plan(spark, sf):
 def k_updated_results(spark, sf):
     old = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("error").alias("status"))
     return runs.updated_results(old, old.where("id % 3 = 0").withColumn("status", F.lit("ok")))
+
+
+@query(f"""WITH {FRAMES}, q AS (SELECT vid, fid, label, score, CASE fid % 4 WHEN 0 THEN 'audio_visual' WHEN 1 THEN 'visual_fallback' WHEN 2 THEN 'visual_change' ELSE 'audio' END AS origin, CASE WHEN fid % 8 = 0 THEN score END AS a FROM f)
+SELECT vid, fid, CASE origin WHEN 'audio_visual' THEN 'Sound (score ' || printf('%.3f', {R('coalesce(a, score)')}) || ') and picture (score ' || printf('%.3f', {R('score')}) || ') both point to this clip. The visual scan noted: ' || label
+  WHEN 'visual_fallback' THEN 'A visual scan proposed this clip with confidence ' || printf('%.3f', {R('score')}) || '. It noted: ' || label
+  WHEN 'visual_change' THEN 'The picture changes strongly about unknown seconds into the clip (strength ' || printf('%.3f', {R('score')}) || '). This may be a cut or a camera movement; only what happens from there on counts.'
+  ELSE 'A sound detector proposed this clip with score ' || printf('%.3f', {R('score')}) || '; it may be wrong.' END AS note FROM q""")
+def p_candidate_note(spark, sf):
+    i, none = F.col("fid") % 4, F.lit(None).cast("double")
+    origin = F.when(i == 0, "audio_visual").when(i == 1, "visual_fallback").when(i == 2, "visual_change").otherwise("audio")
+    note = candidate_note(origin, fixed(F.col("score")), none, F.when(F.col("fid") % 8 == 0, fixed(F.col("score"))), none, F.col("label"))
+    return frames(spark, sf).select("vid", "fid", note.alias("note"))
+
+
+@query(f"""WITH {FRAMES}, {PROPOSALS} SELECT vid, fid, cand || '|' || printf('%.3f', st) || '|' || printf('%.3f', en) AS provenance FROM p""")
+def p_provenance(spark, sf):
+    """Where a proposal comes from, in the fields that reports keep."""
+    d = proposals(spark, sf).withColumn("core", F.struct("start", "end"))
+    p = confirmation.provenance(d, "candidate_id", "core.start", "core.end")
+    return p.select("vid", F.col("stable_id").alias("fid"), F.format_string("%s|%.3f|%.3f", "provenance.candidate_id", "provenance.start", "provenance.end").alias("provenance"))
+
+
+@query("""WITH r AS (SELECT lang, quality, doc_id % 17 <> 0 AS ok, quality = 1 AS e, n_chars >= 1000 AS p FROM documents JOIN labels USING (doc_id))
+SELECT lang, quality, count(*)::BIGINT AS total, count_if(ok AND e AND p)::BIGINT AS tp, count_if(ok AND NOT e AND p)::BIGINT AS fp FROM r GROUP BY ROLLUP (lang, quality)""")
+def a_rollup(spark, sf):
+    """Counts for each split and kind, each split, and all."""
+    d = _results(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    ok = F.col("status") == "ok"
+    return d.rollup("lang", "quality").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok & F.col("expected") & F.col("predicted")).alias("tp"), F.count_if(ok & ~F.col("expected") & F.col("predicted")).alias("fp"))
