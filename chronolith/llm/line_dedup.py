@@ -59,7 +59,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     doc = F.struct(*ROW[:1], F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("of"))
     by_doc = lines.groupBy("h1", "h2", doc.alias("doc")).agg(F.min(F.struct(*ROW, "pos")).alias("first"))
     keys = by_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs)
-    hit = lines.join(keys, ["h1", "h2"])
+    # a table of its own: the join then knows its size, broadcasts it if small, and can split skewed partitions if not
+    hit = lines.join(cut(keys, "line-keys"), ["h1", "h2"])
     if keep_first:
         hit = hit.where(~F.struct(*ROW, "pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy(*ROW).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
