@@ -29,6 +29,8 @@ K = 5
 #: Bound of the sample that centroids, and the number of probed lists, are fitted on.
 SAMPLE = 8192
 CHUNK = 4096
+#: Queries that meet a chunk in one task, on average.
+QUERY_CHUNK = 4096
 BLOCK = 16
 #: A candidate goes if its partial distance, scaled up, exceeds the bound by EPSILON / sqrt(dimensions seen).
 EPSILON = 2.1
@@ -135,7 +137,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by cosine that are found for each row whose id is divisible by `every`, ties to the smaller id.
 
     Unusable vectors (see `usable`), and those of another length than most have (ties: the shorter), take no part. Rows that repeat
-    an id with the same vector count once. With k candidates or fewer, all are
+    an id with the same vector count once; with different ones the id is as near as
+    its nearest, and asks with the smallest. With k candidates or fewer, all are
     returned: probing goes on until the lists hold enough. An empty table gives an
     empty result.
     """
@@ -205,9 +208,12 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     large = [F.lit(v) for i, n in chunks.items() if n > 1 for v in (i, n)]
     n_chunks = F.coalesce(F.try_element_at(F.create_map(*large), F.col("list")), F.lit(1)) if large else F.lit(1)
     cells = lists.withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(3)), n_chunks).cast("int"))
-    queries = d.where((F.size("embedding") == dim) & (F.col("vec_id") % every == 0)).dropDuplicates(["vec_id"])
-    probes = queries.mapInArrow(probe, "query_id long, query array<double>, list int, chunk int")
-    found = probes.groupBy("list", "chunk").cogroup(cells.groupBy("list", "chunk")).applyInArrow(match, "query_id long, vec_id long, score double")
+    queries = d.where((F.size("embedding") == dim) & (F.col("vec_id") % every == 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    parts = 1 + queries.count() * index.probes // (len(index.centroids) * QUERY_CHUNK)
+    probes = queries.mapInArrow(probe, "query_id long, query array<double>, list int, chunk int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else cells.withColumn("part", F.lit(0))
+    cell = ["list", "chunk", "part"]
+    found = probes.groupBy(*cell).cogroup(cells.groupBy(*cell)).applyInArrow(match, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -118,6 +118,17 @@ def test_neighbours_of_one_row_and_none(spark):
     assert [tuple(r)[:3] for r in neighbours.search(two).collect()] == [(50, 1, 1)]
 
 
+def test_neighbours_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_CHUNK", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(v)) for v in rng.standard_normal(6)]) for i in range(300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(d).collect()}
+    want = {(q, i) for q, _, i in brute_neighbours(rows)}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((20, 32))
