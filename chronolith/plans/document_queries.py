@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_bool, as_confidence, clean_html, clock_seconds, fixed, json_object, json_object_or_summary, license_matches, message_text, ratio, retry_after_seconds, retryable_download, retryable_model, safe_name
 from ..functions.prompts import candidate_note
-from ..operators import confirmation, lookups, matching, metrics, reviews, runs
+from ..operators import confirmation, lookups, matching, metrics, reviews, runs, visual
 from ..sources import readers
 from .stand_ins import CONF, FRAMES, IOU, PROPOSALS, SIDES, R, frames, proposals, query, table, truth_and_predictions
 
@@ -425,3 +425,19 @@ def a_rollup(spark, sf):
     d = _results(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     ok = F.col("status") == "ok"
     return d.rollup("lang", "quality").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok & F.col("expected") & F.col("predicted")).alias("tp"), F.count_if(ok & ~F.col("expected") & F.col("predicted")).alias("fp"))
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT vid, fid, label, st - 1.0::DOUBLE AS s0, st + (fid % 5)::DOUBLE * 0.5::DOUBLE AS e0, {CONF('CASE WHEN fid % 2 = 0 THEN score * 100.0::DOUBLE ELSE score END')} AS score FROM f),
+b AS (SELECT vid, fid, label, score, greatest(0.0::DOUBLE, least(60.0::DOUBLE, s0)) AS s1, greatest(0.0::DOUBLE, least(60.0::DOUBLE, e0)) AS e1 FROM a WHERE score >= 0.3::DOUBLE),
+c AS (SELECT vid, fid, label, score, {R('s1')} AS st, {R('e1')} AS en FROM b WHERE e1 > s1),
+r AS (SELECT *, max(en) OVER (PARTITION BY vid ORDER BY st, fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR st > reach THEN 1 ELSE 0 END) OVER (PARTITION BY vid ORDER BY st, fid ROWS UNBOUNDED PRECEDING) AS island FROM r),
+g AS (SELECT vid, island, min(st) AS s, max(en) AS e, max(score) AS score, list_concat([''], list(label ORDER BY st, fid)) AS texts FROM n GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, s) AS r FROM g)
+SELECT vid, {R('greatest(0.0::DOUBLE, s - 2.0::DOUBLE)')} AS start, {R('least(60.0::DOUBLE, e + 2.0::DOUBLE)')} AS "end", score, list_reduce(texts, lambda acc, x: CASE WHEN x = '' OR contains(acc, x) THEN acc WHEN acc = '' THEN x ELSE acc || '；' || x END) AS evidence FROM k WHERE r <= 3""")
+def l_visual_normalise(spark, sf):
+    d = frames(spark, sf)
+    one = F.struct((F.col("start") - 1.0).alias("start"), (F.col("start") + (F.col("fid") % 5).cast("double") * 0.5).alias("end"), F.when(F.col("fid") % 2 == 0, F.col("score") * 100.0).otherwise(F.col("score")).alias("confidence"), F.col("label").alias("visual_evidence"))
+    g = d.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("fid", one.alias("c")))).alias("items"))
+    answer = F.try_parse_json(F.to_json(F.struct(F.transform("items", lambda i: i["c"]).alias("candidates"))))
+    return visual.visual_candidates(g.select("vid", answer.alias("answer")), ["vid"], F.lit(60.0)).select("vid", "start", "end", "score", "evidence")

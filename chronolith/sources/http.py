@@ -7,6 +7,7 @@ import json
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 
@@ -61,6 +62,21 @@ class ChatModel:
         return {"text": content}
 
 
+class FileInfo:
+    """Asks a wiki's query interface about each row's title; `readers.file_infos` reads the answers. A missing file is an error."""
+
+    def __init__(self, endpoint: str, timeout: float = 60.0, opener: Callable = urllib.request.urlopen):
+        self.endpoint, self.timeout, self.opener = endpoint, timeout, opener
+
+    def __call__(self, row: dict) -> dict:
+        asked = {"action": "query", "format": "json", "formatversion": 2, "prop": "imageinfo", "iiprop": "url|size|mime|sha1|extmetadata", "titles": row["title"]}
+        with open_url(urllib.request.Request(f"{self.endpoint}?{urllib.parse.urlencode(asked)}"), self.timeout, DOWNLOAD_STATUSES, self.opener) as response:
+            page = json.load(response)["query"]["pages"][0]
+        if page.get("missing"):
+            raise RuntimeError(f"no such file: {row['title']}")
+        return page
+
+
 class Download:
     """Fetches a row's url to its path: within the limit, of the expected size where one is given, by way of a part file."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import fixed
+from ..functions import clean_html, fixed
 
 PROBE = "struct<format:struct<duration:string,size:string>,streams:array<struct<codec_type:string,codec_name:string>>>"
 MANIFEST = "version int, name string, root string, default_event string, samples array<struct<id:string,path:string,event:string,expected:boolean,split:string,kind:string,notes:string,events:array<struct<start:double,end:double>>>>"
@@ -114,3 +114,17 @@ def folder_fingerprints(files: DataFrame, folder: Column) -> DataFrame:
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.schema(CATALOG).json(path, multiLine=True)
     return d.select(F.posexplode("items").alias("pos", "i")).select("pos", "i.*")
+
+
+FIELD = "struct<value:string>"
+FILE_INFO = f"title string, imageinfo array<struct<descriptionurl:string,url:string,size:bigint,width:int,height:int,mime:string,sha1:string,extmetadata:struct<LicenseShortName:{FIELD},LicenseUrl:{FIELD},Artist:{FIELD},Credit:{FIELD},DateTimeOriginal:{FIELD}>>>"
+
+
+def file_infos(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """`answers` with title, urls, size, type and licence fields of file descriptions in JSON, free of markup."""
+    i = F.col("_p.imageinfo")[0]
+    meta = {"license": "LicenseShortName", "license_url": "LicenseUrl", "artist": "Artist", "credit": "Credit", "date_time_original": "DateTimeOriginal"}
+    d = answers.withColumn("_p", F.from_json(answer, FILE_INFO))
+    plain = {"description_url": "descriptionurl", "download_url": "url", "size": "size", "width": "width", "height": "height", "mime": "mime", "sha1": "sha1"}
+    d = d.withColumn("canonical_title", F.col("_p.title")).withColumns({k: i[v] for k, v in plain.items()})
+    return d.withColumns({k: clean_html(i["extmetadata"][v]["value"]) for k, v in meta.items()}).drop("_p")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import prompts
-from chronolith.sources import http, media_tools
+from chronolith.operators import visual
+from chronolith.sources import http, media_tools, readers
 from chronolith.sources.adapters import RetryableError, with_retries
 
 
@@ -65,3 +66,21 @@ def test_prompts(spark):
     hints = F.array(F.struct(F.lit(2.5).alias("time"), F.lit(0.4).alias("score")), F.struct(F.lit(1.0).alias("time"), F.lit(0.9).alias("score")))
     d = spark.range(1).select(prompts.scan_prompt(F.lit("glass"), hints), prompts.confirmation_prompt(F.lit("glass"), F.lit("note")), prompts.review_prompt(F.lit("glass"), F.lit(1.0), F.lit(2.0))).first()
     assert "1.000 s、2.500 s" in d[0] and "“glass”" in d[1] and "between 1.00 and 2.00" in d[2]
+
+
+def test_file_infos(spark):
+    page = {"title": "File:A", "imageinfo": [{"url": "http://d", "descriptionurl": "http://p", "size": 5, "mime": "video/webm", "sha1": "s", "extmetadata": {"Artist": {"value": "<b>B &amp; C</b>"}}}]}
+    opener = lambda request, timeout: Reply(json.dumps({"query": {"pages": [page]}}).encode())
+    answer = http.FileInfo("http://x", opener=opener)({"title": "File:A"})
+    r = readers.file_infos(spark.createDataFrame([(json.dumps(answer),)], "answer string")).first()
+    assert (r.canonical_title, r.download_url, r.size, r.artist, r.license) == ("File:A", "http://d", 5, "B & C", "")
+    gone = lambda request, timeout: Reply(json.dumps({"query": {"pages": [{"missing": True}]}}).encode())
+    with pytest.raises(RuntimeError, match="no such file"):
+        http.FileInfo("http://x", opener=gone)({"title": "x"})
+
+
+def test_visual_candidates(spark):
+    raw = '{"candidates": [{"start": 1, "end": 2, "confidence": 80, "visual_evidence": "a"}, {"start": 1.5, "end": 3, "confidence": 0.7, "visual_evidence": "b"}, {"start": 8, "end": 9, "confidence": 0.1}, {"start": "x", "end": 2, "confidence": 1}, {"start": 6, "end": 7, "confidence": 0.5}, 4]}'
+    d = spark.createDataFrame([(1, raw), (2, '{"candidates": "no"}'), (3, "{}")], "vid int, raw string").withColumn("answer", F.try_parse_json("raw"))
+    got = visual.visual_candidates(d, ["vid"], F.lit(10.0), padding=1.0).orderBy("start").collect()
+    assert [(r.vid, r.start, r.end, r.score, r.evidence) for r in got] == [(1, 0.0, 4.0, 0.8, "a；b"), (1, 5.0, 8.0, 0.5, "")]
