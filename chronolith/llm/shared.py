@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of our own only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="chronolith-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="chronolith-"))
+        base = _own[0]
     return base.rstrip("/")
 
 
