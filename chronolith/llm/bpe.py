@@ -32,7 +32,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers the paths of this many words, and as many that it met before those.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 HEAD = 4
 #: The same pattern for texts below U+0250, with its classes spelled out for the faster standard module.
 LATIN = r" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"

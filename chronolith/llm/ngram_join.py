@@ -40,7 +40,7 @@ DEEPEST = 16
 STRIPE = 512
 WORD = re.compile(r"\w+")
 _hashes: dict[str, int] = {}
-HASHES_KEPT = 500_000
+HASHES_KEPT = 200_000
 
 
 def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
