@@ -10,8 +10,6 @@ from chronolith.llm.queries import tokenizer_path
 from chronolith.llm.shared import cut, table
 
 MIN_DOCS = 10
-#: A document goes if common lines made up more than this share of its characters.
-MOST_LOST = 0.8
 
 
 def _with_text(docs: DataFrame, text: Column) -> DataFrame:
@@ -27,10 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in MIN_DOCS documents stay in the first document only; documents that this leaves (nearly) empty go."""
+    """Lines found in MIN_DOCS documents stay in the first document only; documents that this leaves without a line with a key go.
+
+    What goes stands in full in other documents: every key keeps its first line, and a document with a kept line stays.
+    """
     bitmaps = line_dedup.keep_bitmaps(docs, MIN_DOCS, keep_first=True)
-    out = line_dedup.apply_bitmaps(docs.withColumn("_before", F.length("text")), bitmaps)
-    stays = (F.col("n_dropped") == 0) | (F.length("text") > (1 - MOST_LOST) * F.col("_before"))
+    out = line_dedup.apply_bitmaps(docs, bitmaps)
+    stays = (F.col("n_dropped") == 0) | (F.length(line_dedup.line_key(F.col("text"))) >= 1)
     out = out.where(stays).select(*docs.columns)
     return _with_text(out, F.col("text"))
 

@@ -184,6 +184,14 @@ def test_pipeline(spark, corpus):
     assert corpus_pipeline.run(spark, folder).count() == len(kept[4][2])
 
 
+def test_line_dedup_stage_loses_no_line(spark):
+    common = ["a rather long line that many of the documents share", "and another one, as long, that as many of them share"]
+    rows = [(i, "\n".join([*common, f"only {i}"]), "en", "a", 0) for i in range(12)]  # common lines are over nine tenths of each
+    rows += [(20, "\n".join(common), "en", "a", 0), (21, common[0] + "\n \t", "en", "a", 0), (22, None, "en", "a", 0)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {0: rows[0][1], 22: None} | {i: f"only {i}" for i in range(1, 12)}
+
+
 def test_first_words_keep_white_space(spark):
     d = spark.createDataFrame([("  a  b\tc\n d ",)], "text string")
     got = [d.select(corpus_pipeline.first_words(F.col("text"), F.lit(n))).first()[0] for n in (1, 2, 3, 4)]
