@@ -43,6 +43,28 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert cells([tuple(r) for r in d.collect()], d.columns) == cells(c.fetchall(), columns)
 
 
+def best_matchings(edges):
+    """All matchings of (true event, prediction, weight, errors) rows with most pairs and, among those, most weight."""
+    found = [[]]
+    for t in {e[0] for e in edges}:
+        found += [[*m, e] for m in found for e in edges if e[0] == t and all(e[1] != x[1] for x in m)]
+    value = lambda m: (len(m), sum(e[2] for e in m))
+    return [m for m in found if value(m) == max(map(value, found))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_mean_errors_are_of_all_matched_pairs(spark, duck):
+    groups = {}
+    for vid, grp, t, p, t_start, t_end, p_start, p_end, iou in duck.execute("SELECT vid, grp, t_pos, p_pos, t_start, t_end, p_start, p_end, iou FROM (" + stand_ins.ORACLE_SQL["j_match_edges"] + ")").fetchall():
+        groups.setdefault((vid, grp), []).append((t, p, round(iou * 1e9), (iou, abs(p_start - t_start), abs(p_end - t_end))))
+    best = [best_matchings(g) for g in groups.values()]
+    assert max(map(len, groups.values())) > 1 and all(len(b) == 1 for b in best)
+    pairs = [e[3] for b in best for e in b[0]]
+    got = stand_ins.QUERIES["a_mean_errors_all"](spark, DATA).first()
+    assert got.n == len(pairs) and got.n > stand_ins.QUERIES["a_mean_errors"](spark, DATA).first().n
+    assert (got.mean_iou, got.mean_start_error, got.mean_end_error) == pytest.approx(tuple(sum(x) / len(pairs) for x in zip(*pairs, strict=True)), abs=1e-4)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
