@@ -227,6 +227,17 @@ def l_evidence(spark, sf):
     return islands.merge_with_evidence(d, ["vid"])
 
 
+@query(f"""WITH {FRAMES}, k AS (SELECT *, label || ' ' || (fid % 3) AS evidence FROM f),
+r AS (SELECT *, max(en) OVER (PARTITION BY vid ORDER BY st, fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+n AS (SELECT *, (sum(CASE WHEN reach IS NULL OR st > reach THEN 1 ELSE 0 END) OVER (PARTITION BY vid ORDER BY st, fid ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM r),
+g AS (SELECT vid, island, min(st) AS start, max(en) AS "end", max(score) AS score, list_concat([''], list(evidence ORDER BY st, fid)) AS texts FROM n GROUP BY ALL)
+SELECT vid, island, start, "end", score, list_reduce(texts, lambda acc, x: CASE WHEN x = '' OR contains(acc, x) THEN acc WHEN acc = '' THEN x ELSE acc || '；' || x END) AS evidence FROM g""")
+def l_evidence_all(spark, sf):
+    """The same of all frames; l_evidence's SQL is of a quarter of them."""
+    d = frames(spark, sf).withColumn("evidence", F.concat("label", F.lit(" "), (F.col("fid") % 3).cast("string"))).withColumnRenamed("fid", "input_pos")
+    return islands.merge_with_evidence(d, ["vid"])
+
+
 DEDUPE = f"""WITH {FRAMES}, {PROPOSALS}, l AS (SELECT vid, list_concat([[]::STRUCT(s DOUBLE, e DOUBLE, id BIGINT, cand VARCHAR, cid INTEGER)[]], list([struct_pack(s := st, e := en, id := fid, cand := cand, cid := 0::INTEGER)] ORDER BY en - st, -conf, st, en, fid)) AS items FROM p GROUP BY vid),
 k AS (SELECT vid, list_reduce(items, lambda acc, x: list_concat(acc, list_transform([list_filter(list_distinct(list_transform(list_filter(acc, lambda m: m.cid <> -1), lambda m: m.cid)),
    lambda c: NOT list_contains(list_transform(list_filter(acc, lambda m: m.cid <> -1 AND (m.cand = x[1].cand OR NOT {SAME('m.s', 'm.e', 'x[1].s', 'x[1].e')})), lambda m: m.cid), c))],

@@ -65,6 +65,20 @@ def test_mean_errors_are_of_all_matched_pairs(spark, duck):
     assert (got.mean_iou, got.mean_start_error, got.mean_end_error) == pytest.approx(tuple(sum(x) / len(pairs) for x in zip(*pairs, strict=True)), abs=1e-4)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_evidence_is_of_all_frames(spark):
+    want, reach = [], {}
+    for f in sorted(stand_ins.frames(spark, DATA).collect(), key=lambda f: (f.vid, f.start, f.fid)):
+        if f.vid not in reach or f.start > reach[f.vid]:
+            want.append([f.vid, f.start, f.end, f.score, ""])
+        x, text = want[-1], f"{f.label} {f.fid % 3}"
+        x[2:4] = max(x[2], f.end), max(x[3], f.score)
+        x[4] = x[4] if text in x[4] else "；".join(filter(None, [x[4], text]))
+        reach[f.vid] = max(reach.get(f.vid, 0.0), f.end)
+    got = stand_ins.QUERIES["l_evidence_all"](spark, DATA).select("vid", "start", "end", "score", "evidence").collect()
+    assert sorted(map(list, got)) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
