@@ -6,7 +6,8 @@ that ends there (matching statistics), in constant amortised time a word. Base
 phrases are templates too; a phrase ends at a word if its state is on the suffix
 chain and the length reaches it, which each state knows beforehand. Long maximal
 matches are chained, in template order and with small gaps, into spans; a span that
-covers enough of its template gives the template's label.
+covers enough of its template gives the template's label. A match that runs on past
+the end of a template, into another one, counts for the template that ends there too.
 """
 
 from __future__ import annotations
@@ -78,6 +79,10 @@ class SuffixAutomaton:
         self.ending: list[list[tuple[int, int]]] = [[] for _ in self.size]  # (phrase, length) on the suffix chain
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
             self.ending[s] = own.get(s, []) + self.ending[self.link[s]]
+        self.closing: list[dict[int, int]] = [{} for _ in self.size]  # template that ends here -> longest of its ends on the suffix chain
+        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
+            here = {k: self.size[s] for k, end in self.places[s] if end == len(templates[k])}
+            self.closing[s] = {k: n for k, n in (self.closing[self.link[s]] | here).items() if n >= MIN_MATCH}
 
     def _extend(self, last: int, w: int) -> int:
         q = self.next[last].get(w)
@@ -108,9 +113,12 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def stream(self, words: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Places of phrases (phrase, first word), and the maximal matches of MIN_MATCH words at least (end, length, state)."""
-        arcs, link, size, ending, known = self.next, self.link, self.size, self.ending, self.words.get
+    def stream(self, words: list[str], ends: list[tuple[int, int, int]] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Places of phrases (phrase, first word), and the maximal matches of MIN_MATCH words at least (end, length, state).
+
+        `ends` gets what stands before each end of a template, maximal or not (end, length, template).
+        """
+        arcs, link, size, ending, closing, known = self.next, self.link, self.size, self.ending, self.closing, self.words.get
         found, matches = [], []
         s = n = 0
         for at, word in enumerate(words):
@@ -134,29 +142,52 @@ class SuffixAutomaton:
             s, n = t, n + 1
             if ending[s]:
                 found += [(p, at + 1 - m) for p, m in ending[s] if n >= m]
+            if ends is not None and n >= MIN_MATCH and closing[s]:
+                ends += [(at + 1, min(n, m), k) for k, m in closing[s].items()]
         if n >= MIN_MATCH:
             matches.append((len(words), n, s))
         return found, matches
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(template, first word, end, covered words) of chains: matches in template order with gaps of MAX_GAP words at most."""
+    def spans(self, matches: list[tuple[int, int, int]], ends: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+        """(template, first word, end, covered words) of chains: matches in template order with gaps of MAX_GAP words at most.
+
+        With `ends`, also the chains of a template with its ends in them, where no chain without them covers as much.
+        """
+        places = [(end, n, self.places[state]) for end, n, state in matches]
+        out = self._chains(places)
+        if ends:
+            closed = {k for _, _, k in ends}
+            own = [(end, n, [x for x in p if x[0] in closed]) for end, n, p in places]
+            own += [(end, n, [(k, len(self.templates[k]))]) for end, n, k in ends]
+            known: dict[int, list[tuple[int, int, int]]] = {}
+            for k, *x in out:
+                known.setdefault(k, []).append(tuple(x))
+            for k, *x in set(self._chains(sorted(own, key=lambda x: x[0]))).difference(out):  # at one end, the maximal match is first
+                i, j, c = x
+                if not any(a < j and i < b and m >= c for a, b, m in known.get(k, ())):
+                    known[k] = [y for y in known.get(k, ()) if not (i <= y[0] and y[1] <= j)] + [(i, j, c)]
+            out = sorted((k, *x) for k, xs in known.items() for x in xs)
+        return out
+
+    @staticmethod
+    def _chains(matches: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int]]:
         open_: dict[int, list[int]] = {}  # template -> first, end, covered, end in template
         out = []
-        for end, n, state in matches:
+        for end, n, places in matches:
             options: dict[int, list[int]] = {}
-            for k, t_end in self.places[state]:
+            for k, t_end in places:
                 options.setdefault(k, []).append(t_end)
-            for k, ends in options.items():
+            for k, t_ends in options.items():
                 c = open_.get(k)
                 if c:
-                    fits = [t for t in ends if 0 <= t - n - c[3] <= MAX_GAP] if 0 <= end - n - c[1] <= MAX_GAP else []
+                    fits = [t for t in t_ends if 0 <= t - n - c[3] <= MAX_GAP] if 0 <= end - n - c[1] <= MAX_GAP else []
                     if fits:
                         c[1], c[2], c[3] = end, c[2] + n, min(fits)
                         continue
                     if end - n < c[1] and n <= c[2]:
                         continue  # overlaps the open chain and is no longer
                     out.append((k, *c[:3]))
-                open_[k] = [end - n, end, n, min(ends)]
+                open_[k] = [end - n, end, n, min(t_ends)]
         return out + [(k, *c[:3]) for k, c in open_.items()]
 
 
@@ -190,10 +221,11 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, base=None, min_
             n, places, spans = [], [], []
             for x in b.column(text).to_pylist():
                 words = words_of(x or "")
-                found, matches = a.stream(words)
+                ends: list[tuple[int, int, int]] = []
+                found, matches = a.stream(words, ends)
                 n.append(len(words))
                 places.append([{"label": phrases[p], "start": i} for p, i in found])
-                chains = ((labels[k], i, j, c, c / len(a.templates[k])) for k, i, j, c in a.spans(matches))
+                chains = ((labels[k], i, j, c, c / len(a.templates[k])) for k, i, j, c in a.spans(matches, ends))
                 spans.append([dict(zip(("label", "start", "end", "covered", "share"), c, strict=True)) for c in chains if c[4] >= min_share])
             kept = [c for c in b.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(places, base_type), pa.array(spans, span_type)], [*kept, "n_words", "base", "spans"])

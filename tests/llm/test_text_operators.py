@@ -242,6 +242,34 @@ def test_license_spans(spark):
     assert 0.9 < got[2]["mit"].share < 1 and not got[3] and set(got[4]) == {"apache-2.0"}
 
 
+def test_license_ends_inside_a_longer_match(spark):
+    short = "Licensed under the Apache License, Version 2.0"
+    texts = [short + ". The river runs", short + ' (the "License"); read it well', "Under the Apache License, Version 2.0. The river", short + ". " + short + " the river", short + ".", "Apache License, Version 2.0. The river"]
+    got = {r.doc_id: sorted((s.start, s.end, s.covered) for s in r.spans if s.label == "apache-2.0") for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [(0, 8, 8)], 1: [(0, 8, 8)], 2: [(0, 7, 7)], 3: [(0, 8, 8), (8, 16, 8)], 4: [(0, 8, 8)], 5: [(0, 5, 5)]}
+
+
+def test_whole_templates_are_found_wherever_they_stand():
+    rng = random.Random(11)
+    hidden = 0
+    for _ in range(300):
+        templates = [[rng.choice("abc") for _ in range(rng.randrange(4, 7))] for _ in range(3)]
+        templates += [[*rng.choice("abc"), *rng.choice(templates), *rng.choice(["", "a", "ab"])] for _ in range(3)]
+        machine = license_scan.SuffixAutomaton(templates, [])
+        text = [w for _ in range(4) for w in [*rng.choice(templates), *rng.choice(["", "a", "d"])]]
+        ends = []
+        _, matches = machine.stream(text, ends)
+        before, spans = machine.spans(matches), machine.spans(matches, ends)
+        for k, t in enumerate(templates):
+            for i in range(len(text) - len(t) + 1):
+                if text[i : i + len(t)] == t:
+                    found = lambda spans: any(s[0] == k and s[1] < i + len(t) and i < s[2] and s[3] == len(t) for s in spans)  # noqa: B023, E731
+                    assert found(spans)
+                    hidden += not found(before)
+        assert all(any(s[0] == b[0] and s[1] <= b[1] and b[2] <= s[2] and s[3] >= b[3] for s in spans) for b in before)
+    assert hidden
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(9)
     templates = [[rng.choice("abc") for _ in range(rng.randrange(3, 12))] for _ in range(6)]
