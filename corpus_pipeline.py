@@ -37,10 +37,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group that n-gram similarity links."""
-    classes = ngram_join.join(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that n-gram similarity links: the one with the smallest id, among rows of that id the one with the smallest hash.
+
+    Rows are told apart by a number of their own, not by doc_id: of repeated rows one
+    stays, and an id on two texts is decided for each text. Null ids are compared
+    too and come after all others. Rows without a word are linked to nothing and stay.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    ranked = rows.select("_row", order.alias("_order")).join(classes, "_row")
+    stays = ranked.groupBy("class_id").agg(F.min("_order").alias("_first")).select(F.col("_first")["_row"].alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -192,6 +192,14 @@ def test_line_dedup_stage_loses_no_line(spark):
     assert got == {0: rows[0][1], 22: None} | {i: f"only {i}" for i in range(1, 12)}
 
 
+def test_near_copies_are_decided_by_row(spark):
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abce")
+    rows = [(1, a), (1, a), (2, a + " more"), (2, b), (3, c), (3, e), (None, c), (None, "no copy of this one"), (None, "no copy of this one"), (4, None), (5, b)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_near_copies(spark, d, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, e), (None, "no copy of this one"), (4, None)], key=repr)
+
+
 def test_first_words_keep_white_space(spark):
     d = spark.createDataFrame([("  a  b\tc\n d ",)], "text string")
     got = [d.select(corpus_pipeline.first_words(F.col("text"), F.lit(n))).first()[0] for n in (1, 2, 3, 4)]
