@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding at a fixed depth, then exact verification.
 
 Documents are sets of word 5-grams. Documents with equal sets are one class, whose
-representative (the smallest id) goes on. Each tree of the forest labels a set with
-a sequence of MinHash values; sorted labels are a prefix trie. Matches are looked
-for at the deepest level and the matched prefix is shortened, in all trees together,
-until a pair at the similarity threshold shares a prefix in some tree with the
-target probability. The trie is partitioned by that prefix, so a partition holds
-whole subtrees, and sorted by label below it. A subtree with one set is dropped by
-counting; a large one is dealt into stripes, and pairs of stripes are separate
+representative (the smallest id) goes on. Each tree labels a set with `depth`
+MinHash values, hashed into one key; sets with equal keys are a cell. The depth is
+computed beforehand (`depth_for`): the longest at which a pair at the similarity
+threshold shares a key in some tree with the target probability. This replaced an
+LSH forest: a join with a fixed threshold takes all pairs that meet at that depth,
+deeper levels of a trie only hold some of the same pairs, and every pair is
+verified, so sorted deeper labels would add no link. A cell with one set is dropped
+by counting; a large one is dealt into stripes, and pairs of stripes are separate
 cells of work, so no task holds more than two stripes.
 
 A pair meets in several trees; it's handled in the first one that both share. A
@@ -44,7 +45,7 @@ HASHES_KEPT = 200_000
 
 
 def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix with which a pair of this similarity meets in some tree with probability `recall`: shortened level by level from the deepest."""
+    """The longest prefix with which a pair of this similarity meets in some tree with probability `recall`; it depends on these constants only, never on data."""
     depth = deepest
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
@@ -192,8 +193,8 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
 
     class_id is the smallest doc_id that links lead to; a link joins documents whose
     sets of word n-grams have a Jaccard similarity of `similarity` or more. n_links
-    counts a document's linked documents, equal ones included. Every pair in the
-    forest's reach is verified exactly; a pair just at the threshold is missed with
+    counts a document's linked documents, equal ones included. Every pair that
+    shares a key is verified exactly; a pair just at the threshold is missed with
     probability 1 - `recall`, nearer ones far less. Texts without a word (null,
     empty) link to nothing. Rows that repeat a doc_id with an equal set count once
     each in n_links; with different sets, they join those sets' classes. Rows with
