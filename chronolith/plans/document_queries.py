@@ -336,6 +336,13 @@ def f_manifest_select(spark, sf):
     return readers.selected(d, split="en", limit=25).select("id", "pos")
 
 
+@query("SELECT doc_id::VARCHAR AS id, doc_id AS pos FROM documents WHERE lang = 'en' AND doc_id IN (SELECT unnest(range(0, 300, 2))) ORDER BY doc_id LIMIT 25")
+def f_manifest_select_all(spark, sf):
+    """Split, ids and limit over all documents; f_manifest_select's SQL is of three sources."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("split"))
+    return readers.selected(d, split="en", ids=[str(i) for i in range(0, 300, 2)], limit=25).select("id", "pos")
+
+
 @query(f"""WITH {FRAMES}, h AS (SELECT vid, st AS time, score FROM f WHERE fid % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, time) AS r FROM h) SELECT vid, time, score FROM r WHERE r <= 12""")
 def s_scene_log(spark, sf):
     d = frames(spark, sf)

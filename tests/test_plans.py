@@ -79,6 +79,13 @@ def test_evidence_is_of_all_frames(spark):
     assert sorted(map(list, got)) == sorted(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_manifest_selection_is_of_all_sources(spark, duck):
+    sources = dict(duck.execute("SELECT doc_id, source FROM documents").fetchall())
+    got = [r.pos for r in stand_ins.QUERIES["f_manifest_select_all"](spark, DATA).collect()]
+    assert len(got) == 25 and not {sources[i] for i in got} <= {"src1", "src2", "src3"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
