@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .media import _pieces
-from .shared import smallest_hashes
+from .shared import hash_counts, smallest_hashes
 
 DIM = 1 << 13
 #: Bounds of the training sample: rows of each language, and rows in all.
@@ -133,40 +133,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Coder | None:
-    """Fit on text and lang of rows that aren't held out, at most `per_language` of each language and `most_rows` in all, by the hash of their ids.
+    """Fit on text and lang of rows that aren't held out: the rows with the smallest hashes of id and text, `per_language` of each language at most and `most_rows` in all, but one of each language at least.
 
-    None if there is no labelled row with a letter. Features are computed where the
-    rows are; the driver gets sparse counts of the bounded sample only.
+    Rows are ranked and bounded, not ids: null, hot and repeated ids neither crowd a
+    language out nor gather more rows. None if there is no labelled row with a letter.
+    Features are computed where the rows are; the driver gets sparse counts of the
+    bounded sample only.
     """
-    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    counts = [x for r in d.groupBy("lang").count().collect() for x in (r["lang"], float(r["count"]))]  # a row for each language, as the model has
+    d = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    h = F.xxhash64("doc_id", "text")
+    counts = hash_counts(d, h, F.col("lang"))
     if not counts:
         return None
-    share = F.lit(float(per_language)) / F.element_at(F.create_map(*map(F.lit, counts)), F.col("lang"))
-    rank = smallest_hashes(d, F.col("doc_id"), share).select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
-    few = rank.orderBy("rank", "lang").limit(most_rows).select(F.col("doc_id").alias("_id")).distinct()
-    sample = d.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "lang", "text")
+    quota, sizes = per_language, [sum(by.values()) for by in counts.values()]
+    while quota > 1 and sum(min(n, quota) for n in sizes) > most_rows:
+        quota -= 1
+    order = Window.partitionBy("lang").orderBy(h, "doc_id", "text")
+    few = smallest_hashes(d, h, quota, F.col("lang"), counts)
+    sample = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
 
     def run(batches):
         for b in _pieces(batches, 256):
-            rows = [(lang, i, c) for i, lang, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "lang", "text")), strict=True) if (c := features(text)) is not None]
+            rows = [(lang, rank, c) for lang, rank, text in zip(*(b.column(k).to_pylist() for k in ("lang", "rank", "text")), strict=True) if (c := features(text)) is not None]
             cells = [np.flatnonzero(c) for _, _, c in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(cells, pa.list_(pa.int32())), pa.array([c[2][k].astype(np.float32) for c, k in zip(rows, cells, strict=True)], pa.list_(pa.float32()))],
-                ["lang", "doc_id", "cells", "counts"],
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([c[2][k].astype(np.float32) for c, k in zip(rows, cells, strict=True)], pa.list_(pa.float32()))],
+                ["lang", "rank", "cells", "counts"],
             )
 
-    got = sample.mapInArrow(run, "lang string, doc_id long, cells array<int>, counts array<float>").toArrow()
+    got = sample.select("lang", "rank", "text").mapInArrow(run, "lang string, rank int, cells array<int>, counts array<float>").toArrow()
     if not got.num_rows:
         return None
-    got = {"lang": got.column("lang").to_pylist(), "doc_id": got.column("doc_id").to_pylist(), "cells": [v.values.to_numpy() for v in got.column("cells")], "counts": [v.values.to_numpy() for v in got.column("counts")]}
-    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["doc_id"][i] is None, got["doc_id"][i] or 0, got["cells"][i].tobytes()))[: 2 * most_rows]
-    languages = sorted(set(got["lang"]))
-    x = np.zeros((len(order), DIM), np.float32)  # the one large array here; rows are scaled in place
-    for row, i in enumerate(order):
-        x[row, got["cells"][i]] = np.sqrt(np.asarray(got["counts"][i], np.float32) / np.float32(sum(got["counts"][i])))
-    return fit(x, np.array([languages.index(got["lang"][i]) for i in order]), languages)
+    got = got.sort_by([("lang", "ascending"), ("rank", "ascending")])
+    lang, cells, counted = got.column("lang").to_pylist(), got.column("cells"), got.column("counts")
+    languages = sorted(set(lang))
+    x = np.zeros((len(lang), DIM), np.float32)  # the one large array here
+    for i, (k, c) in enumerate(zip(cells, counted, strict=True)):
+        c = c.values.to_numpy()
+        x[i, k.values.to_numpy()] = np.sqrt(c / c.sum())
+    return fit(x, np.array([languages.index(k) for k in lang]), languages)
 
 
 def predict(docs: DataFrame, model: Coder | None, ambiguous: float = AMBIGUOUS) -> DataFrame:

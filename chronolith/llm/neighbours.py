@@ -151,7 +151,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     dim = length[0]["n"]
     groups = cut(_members(d.where(F.size("embedding") == dim), k), "vectors")
     n_groups = groups.count()
-    lowest = smallest_hashes(groups, F.col("h"), SAMPLE / max(n_groups, 1))
+    lowest = smallest_hashes(groups, F.xxhash64("h"), SAMPLE)
     sample = lowest.orderBy(F.xxhash64("h"), "embedding").limit(SAMPLE).select("embedding").toArrow()
     index = fit(_vectors(sample.column("embedding")), n_groups, k)
     shared = spark.sparkContext.broadcast(index)

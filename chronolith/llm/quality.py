@@ -112,24 +112,26 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_grades: int, rounds: int =
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, most_rows: int = MOST_ROWS) -> Grader | None:
-    """Fit on the rated rows (doc_id, grade from 0) with the smallest hashes of their ids, `most_rows` at most; None without any.
+    """Fit on `most_rows` rows at most: the ratings (doc_id, grade from 0) with the smallest hashes of their ids, and of the documents they rate the rows with the smallest hashes of id, grade and text; None without any.
 
-    Null ids or grades, and grades outside the range, are left out; a document
-    that is rated twice counts twice.
+    Null ids or grades, and grades outside the range, are left out; a document that is
+    rated twice, or stands twice, counts twice. The bound holds for rows, however often
+    an id is repeated. Null text is ''; whole texts are read.
     """
     r = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    few = smallest_hashes(r, F.col("doc_id"), most_rows / max(r.count(), 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    few = smallest_hashes(r, F.xxhash64("doc_id"), most_rows).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("h", F.xxhash64("doc_id", "grade", "text"))
 
     def run(batches):
         for b in _pieces(batches, 256):
             cells = [features(x) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(cells, pa.list_(pa.int32()))], ["doc_id", "grade", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("grade"), pa.array(cells, pa.list_(pa.int32()))], ["h", "grade", "cells"])
 
-    got = sample.mapInArrow(run, "doc_id long, grade int, cells array<int>").toArrow()
+    rated = sample.mapInArrow(run, "h long, grade int, cells array<int>")
+    got = rated.orderBy("h", "grade", "cells").limit(most_rows).toArrow()
     if not got.num_rows:
         return None
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "grade", "cells")), strict=True))
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("h", "grade", "cells")), strict=True))
     return fit([r[2] for r in rows], np.array([r[1] for r in rows]), n_grades)
 
 

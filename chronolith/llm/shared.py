@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The session's spark.checkpoint.dir. Where it is unset: a folder of our own in local mode, where one machine holds all; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chronolith-"))
         base = _own[0]
@@ -35,25 +37,52 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that `cut` wrote in this process; call it once results are stored."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that `cut` wrote in this process after its first `since`, but for the last `keep`; call it once results are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    return sum(bool(path.getFileSystem(conf).delete(path, True)) for path in map(jvm.org.apache.hadoop.fs.Path, gone))
+
+
+def made() -> int:
+    """How many tables `cut` has written that aren't released."""
+    return len(_made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def smallest_hashes(df: DataFrame, key: Column, share: Column | float, slack: float = 2.0) -> DataFrame:
-    """The rows whose hash of `key` lies in the lowest `slack` * `share` of all hashes.
+def _zeros(h: Column) -> Column:
+    """Leading zeros of the place of a 64-bit hash among all hashes, 60 at most."""
+    place = (h.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return F.floor(-F.log2(F.greatest(place, F.lit(2.0**-60)))).cast("int")
+
+
+def hash_counts(df: DataFrame, h: Column, of: Column | None = None) -> dict:
+    """Rows by leading zeros of their hash, for each value of `of`: at most 61 numbers a value."""
+    counts: dict = {}
+    for r in df.groupBy((F.lit("") if of is None else of).alias("g"), _zeros(h).alias("z")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["g"], {})[r["z"]] = r["n"]
+    return counts
+
+
+def smallest_hashes(df: DataFrame, h: Column, want: int, of: Column | None = None, counts: dict | None = None) -> DataFrame:
+    """The rows whose hash `h` is small: at least `want` of them for each value of `of` (all, if fewer), about twice as many at most unless many rows share a hash.
 
-    What an order by that hash with a limit of `share` of the rows would take is
-    among them, so such a sample neither sorts nor gathers more than it returns.
+    Rows are counted first, so no value is lost, however few hashes its rows have. What an
+    order by the hash with that limit takes is among the rows: such a sample neither sorts
+    nor gathers much more than it returns.
     """
-    place = (F.xxhash64(key).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    return df.where(place <= F.lit(slack) * (F.lit(share) if isinstance(share, float) else share))
+    least = {}
+    for g, by in (hash_counts(df, h, of) if counts is None else counts).items():
+        n, z = 0, 61
+        while z > 0 and n < want:
+            z -= 1
+            n += by.get(z, 0)
+        least[g] = z
+    if of is None:
+        return df.where(_zeros(h) >= least.get("", 0))
+    levels = [F.lit(x) for g, z in least.items() for x in (g, z)]
+    return df.where(_zeros(h) >= F.element_at(F.create_map(*levels), of)) if levels else df

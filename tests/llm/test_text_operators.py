@@ -305,6 +305,38 @@ def test_language_is_learned_and_flagged(spark, none):
     assert language.identify(spark.createDataFrame(rows[:1], DOCS).withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
 
 
+def test_language_sample_bounds_rows_and_keeps_languages(spark, monkeypatch):
+    english = [(None, f"the and with this that w{i}", "en", "a", 0) for i in range(600)]
+    hot = [(7, f"über straße schön müssen w{i}", "de", "a", 0) for i in range(300)]
+    same = [(9, "uno dos tres cuatro", "es", "a", 0)] * 200
+    french = [(i, f"été où déjà français w{i}", "fr", "a", 0) for i in range(40, 90)]
+    d = spark.createDataFrame(english + hot + same + french, DOCS)
+    seen = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda x, y, languages: seen.append((len(x), np.bincount(y).tolist(), languages)) or fit(x, y, languages))
+    got = language.predict(d, language.train(d, per_language=20, most_rows=60)).collect()
+    assert seen == [(60, [15] * 4, ["de", "en", "es", "fr"])] and all(r.lang_pred == r.lang for r in got)
+
+
+def test_codeword_decoding_equals_brute_force():
+    rng = np.random.default_rng(4)
+    names = list("abcdefg")
+    code = language.codewords(7)
+    trust = rng.random(code.shape)
+    model = language.Coder(names, code, np.zeros((language.DIM, code.shape[1])), np.zeros(code.shape[1]), trust / trust.sum(axis=1, keepdims=True))
+    for _ in range(50):
+        m = rng.standard_normal(code.shape[1]) * 3
+        loss = [sum(model.trust[k][b] * math.log(1 + math.exp(-code[k][b] * m[b])) for b in range(code.shape[1])) for k in range(7)]
+        low = sorted(loss)
+        name, score = model.decode(m)
+        assert name == names[loss.index(low[0])] and math.isclose(score, 1 - low[0] / low[1], abs_tol=1e-9)
+    assert model.decode(np.zeros(code.shape[1]))[1] < 1e-9  # a tie of all
+    clean = model.decode(code[3] * 9.0)
+    flipped = code[3] * 9.0
+    flipped[0] *= -1
+    assert clean[0] == "d" and model.decode(flipped)[0] == "d"  # one wrong bit is corrected
+
+
 def test_held_out(spark):
     d = spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in d)
@@ -322,3 +354,43 @@ def test_ordinal_grades(spark, docs, none):
     assert quality.grade(docs, model).count() == len(ROWS) and quality.grade(none, model).count() == 0
     assert quality.train(d, d.limit(0).withColumn("grade", F.lit(1)), 3) is None
     assert quality.grade(docs, None).where("keep").count() == len(ROWS)
+
+
+def test_quality_sample_bounds_rows(spark, monkeypatch):
+    text = {0: "awful trash", 1: "plain middling", 2: "fine lucid"}
+    rows = [(1, f"{text[0]} w{i}") for i in range(500)] + [(i, f"{text[i % 3]} w{i}") for i in range(2, 60)] + [(70, None), (71, "fine " * 50_000)] + [(72, "fine lucid")] * 30
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(1, 0)] * 40 + [(i, i % 3) for i in range(2, 60)] + [(70, 0), (71, 2), (72, 2), (None, 1), (3, None), (4, 9)], "doc_id long, grade int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, grades, n: seen.append(len(rows)) or fit(rows, grades, n))
+    assert quality.train(d, ratings, 3, most_rows=100) is not None
+    assert quality.train(d, ratings.where("doc_id > 1"), 3, most_rows=10_000) is not None
+    assert seen == [100, 58 + 2 + 30]
+
+
+def brute_loss(rows, grades, weight, cuts, decay):
+    total = 0.0
+    for cells, g in zip(rows, grades, strict=True):
+        z = sum(weight[c] for c in cells)
+        at_most = lambda j: 0.0 if j < 0 else 1.0 if j == len(cuts) else 1 / (1 + math.exp(z - cuts[j]))  # noqa: B023, E731
+        total -= math.log(at_most(g) - at_most(g - 1))
+    return total / len(rows) + decay / (2 * len(rows)) * sum(w * w for w in weight.values())
+
+
+def test_ordinal_fit_is_at_the_least_loss():
+    rng = random.Random(8)
+    rows = [sorted(rng.sample(range(12), rng.randrange(1, 5))) for _ in range(120)]
+    grades = np.array([min(2, max(0, round(sum(r) / 18 + rng.uniform(-0.7, 0.7)))) for r in rows])
+    model = quality.fit(rows, grades, 3, rounds=3000, step=0.02)
+    weight, cuts = {c: float(model.weight[c]) for c in range(12)}, [float(x) for x in model.thresholds]
+    best = brute_loss(rows, grades, weight, cuts, 1.0)
+    for c in range(12):
+        for d in (-1e-3, 1e-3):
+            assert brute_loss(rows, grades, weight | {c: weight[c] + d}, cuts, 1.0) > best - 1e-9
+    for j in range(2):
+        for d in (-1e-3, 1e-3):
+            assert brute_loss(rows, grades, weight, [x + d * (i == j) for i, x in enumerate(cuts)], 1.0) > best - 1e-9
+    above = model.above(rows[0])
+    z = sum(weight[c] for c in rows[0])
+    assert all(math.isclose(a, 1 / (1 + math.exp(t - z))) for a, t in zip(above, cuts, strict=True))
