@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node of each node's component, for edges (a, b) of longs; nodes without edges to others are absent.
+    """node, root: the smallest node of each node's component, for edges (a, b) of any type that can be ordered; nodes without edges to others are absent.
 
     Every round is written to the shared folder; the rounds grow with the logarithm
     of the longest path.

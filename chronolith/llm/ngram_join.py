@@ -1,28 +1,31 @@
-"""N-gram Jaccard join: MinHash banding at a fixed depth, then exact verification.
-
-Documents are sets of word 5-grams. Documents with equal sets are one class, whose
-representative (the smallest id) goes on. Each tree labels a set with `depth`
-MinHash values, hashed into one key; sets with equal keys are a cell. The depth is
-computed beforehand (`depth_for`): the longest at which a pair at the similarity
-threshold shares a key in some tree with the target probability. This replaced an
-LSH forest: a join with a fixed threshold takes all pairs that meet at that depth,
-deeper levels of a trie only hold some of the same pairs, and every pair is
-verified, so sorted deeper labels would add no link. A cell with one set is dropped
-by counting; a large one is dealt into stripes, and pairs of stripes are separate
-cells of work, so no task holds more than two stripes.
-
-A pair meets in several trees; it's handled in the first one that both share. A
-first pass over the labels alone finds which sets a cell really needs; only those
-bring their n-grams. In a cell, common n-grams are counted for all pairs at once
-by products of 0/1 matrices; exact similarities then give each set's number of
-links, and only a spanning forest of the links leaves the cell, never the pairs.
-Components of the forests are the result's classes.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+
+Documents are sets of word 5-grams; documents with equal sets are one class. Each of
+`TREES` prefix tries labels a set with DEEPEST MinHash values. The labels of all tries
+are range-sorted, so a subtree is a run of rows that share a prefix; one look at the
+neighbours in the run tells which sets meet another one at all, at the shortest prefix
+that can be needed (`depth_for`: there a pair just at the similarity threshold shares a
+prefix in some trie with the target probability). The others, nearly all, go no further.
+
+Pairs that meet are told apart by the longest prefix that they share in any trie, and
+handled from the deepest level to the shortest. After each level the exact similarities
+of its links say whether the prefix must be shortened further: it stops once `recall`
+is reached for every similarity that occurs (`enough`). The shortest level meets the
+target for all pairs.
+
+A pair that meets in several tries is handled in the first one. A large subtree is dealt
+into stripes by rows and by n-grams; pairs of stripes are separate cells of work, so no
+task holds more than two stripes of one. Exact similarities give each set's number of
+links; only these numbers and a spanning forest of the links leave a cell, never pairs.
+To count M sets' links among each other takes M * M / 2 comparisons: they are spread
+over cells, not saved. Components of the forests are the result's classes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +41,42 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 TREES = 32
 DEEPEST = 16
+#: Bounds of a stripe: sets, and n-grams of them all (a single longer set is a stripe's only one or shares it by chance).
 STRIPE = 512
+STRIPE_GRAMS = 1 << 18
+BANDS = 10
+MISSED = 0.1
+PAIRS = 1 << 15
 WORD = re.compile(r"\w+")
-_hashes: dict[str, int] = {}
 HASHES_KEPT = 200_000
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, remembered for the most recent ones."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HASHES_KEPT:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+_hash_of = _Hashes().__getitem__
+
+
+def reached(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair of this similarity shares a prefix of `depth` values in some trie."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix with which a pair of this similarity meets in some tree with probability `recall`; it depends on these constants only, never on data."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    """The longest prefix at which a pair of this similarity meets with probability `recall`: the shortest one ever needed."""
+    return next((d for d in range(deepest, 1, -1) if reached(similarity, d, trees) >= recall), 1)
 
 
-def _word_hash(word: str) -> int:
-    h = _hashes.get(word)
-    if h is None:
-        if len(_hashes) >= HASHES_KEPT:
-            _hashes.clear()
-        h = _hashes[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return h
+def levels_of(shortest: int, deepest: int = DEEPEST) -> list[int]:
+    """The prefix lengths that are tried, longest first."""
+    return sorted({max(shortest, d) for d in (deepest, (deepest + shortest) // 2, (deepest + 3 * shortest) // 4, shortest)}, reverse=True)
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -69,7 +87,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     words = WORD.findall(text.lower()) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -78,56 +96,166 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(13)
-    return rng.integers(0, 1 << 32, count, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
+def digest(grams: np.ndarray) -> bytes:
+    """16 bytes that name a set of n-grams."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def labels(grams: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The set's label in each tree: `depth` MinHash values (trees x depth, uint32)."""
-    a, b = _permutations(trees * depth)
+def minima(grams: np.ndarray, trees: int, depth: int, block: int = 512) -> np.ndarray:
+    """The set's MinHash values (trees x depth, uint32)."""
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, 1 << 32, (2, trees * depth), np.uint32)
+    a |= np.uint32(1)
     x = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
-    out = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 512):  # a block of n-grams against all permutations stays in cache
-        np.minimum(out, (x[at : at + 512, None] * a + b).min(axis=0), out=out)
+    out, room = np.full(trees * depth, 0xFFFFFFFF, np.uint32), np.empty((min(block, len(x)), trees * depth), np.uint32)
+    for at in range(0, len(x), block):  # a block of n-grams against all permutations stays in cache
+        part = x[at : at + block, None]
+        z = room[: len(part)]
+        np.multiply(part, a, out=z)
+        np.add(z, b, out=z)
+        np.minimum(out, z.min(axis=0), out=out)
     return out.reshape(trees, depth)
 
 
-def prefix_keys(label: np.ndarray) -> np.ndarray:
-    """64-bit keys of whole labels, different for each tree."""
-    h = np.arange(1, len(label) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for level in label.T:
+def label_bytes(shortest: int, deepest: int) -> int:
+    return 8 + deepest - shortest
+
+
+def labels(values: np.ndarray, shortest: int) -> np.ndarray:
+    """Each trie's label (trees x label_bytes, uint8): eight bytes for the first `shortest` values, different for each trie, then a byte for each further one."""
+    h = np.arange(1, len(values) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for level in values.T[:shortest]:
         h = (h ^ level.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
-    return h.view(np.int64)
+    more = (values[:, shortest:] * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return np.concatenate([h.view(np.uint8).reshape(-1, 8), more.astype(np.uint8)], axis=1)
 
 
-def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, d1 and d2 (a digest of the set; null without words), n_grams, keys (one a tree)."""
+def signatures(docs: DataFrame, n: int, trees: int, shortest: int, deepest: int) -> DataFrame:
+    """doc_id, text_hash, set (a digest; null without words), n_grams, labels (all tries' labels)."""
 
     def run(batches):
         for b in _pieces(batches, 512):
-            d1, d2, sizes, keys = [], [], [], []
+            sets, sizes, all_labels = [], [], []
             for x in b.column("text").to_pylist():
                 g = shingles(x, n)
                 sizes.append(len(g))
-                if not len(g):
-                    d1.append(None), d2.append(None), keys.append([])
-                    continue
-                h = np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), np.int64)
-                d1.append(int(h[0])), d2.append(int(h[1])), keys.append(prefix_keys(labels(g, trees, depth)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "n_grams", "keys"])
+                sets.append(digest(g) if len(g) else None)
+                all_labels.append(labels(minima(g, trees, deepest), shortest).tobytes() if len(g) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(all_labels, pa.binary())], ["doc_id", "text_hash", "set", "n_grams", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n_grams long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, set binary, n_grams long, labels binary")
 
 
-def _needed(tree: int, keys_a: np.ndarray, keys_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether each pair is handled in this tree: no earlier tree is shared, and the sizes allow the similarity."""
-    lo, hi = np.minimum(n_a[:, None], n_b[None]), np.maximum(n_a[:, None], n_b[None])
-    need = lo >= similarity * hi - 1e-9
-    for t in range(tree):
-        need &= keys_a[:, t, None] != keys_b[None, :, t]
-    return need
+def _bytes(column, width: int) -> np.ndarray:
+    """A binary column of equally long values as rows x width bytes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def meeting(sorted_labels: DataFrame, width: int) -> DataFrame:
+    """The rows (tree, key, set, n_grams) of sorted labels that share tree and shortest prefix with a neighbour.
+
+    The first and the last row of a partition always stay: their neighbours are in another one.
+    """
+
+    def run(batches):
+        held, before = None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = _bytes(t.column("label"), width)[:, :8].copy().view(np.int64).ravel()
+            tree = t.column("tree").to_numpy()
+            same = (key[1:] == key[:-1]) & (tree[1:] == tree[:-1])
+            stays = np.r_[before, same[:-1]] | same if len(same) else np.zeros(0, bool)
+            out = t.slice(0, t.num_rows - 1).filter(pa.array(stays))
+            yield from out.select(["tree", "set", "n_grams"]).append_column("key", pa.array(key[:-1][stays])).select(["tree", "key", "set", "n_grams"]).to_batches()
+            held, before = t.slice(t.num_rows - 1).combine_chunks(), bool(same[-1]) if len(same) else before
+        if held is not None:
+            key = _bytes(held.column("label"), width)[:, :8].copy().view(np.int64).ravel()
+            yield from held.select(["tree", "set", "n_grams"]).append_column("key", pa.array(key)).select(["tree", "key", "set", "n_grams"]).to_batches()
+
+    return sorted_labels.mapInArrow(run, "tree int, key long, set binary, n_grams long")
+
+
+CELL = ["tree", "key", "i", "j"]
+
+
+def _number(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def whole_cells(batches, rows: int = 2048) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells from batches sorted by cell and side, and the first row of each cell."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([_number(t, c)[1:] != _number(t, c)[:-1] for c in CELL], axis=0)
+        return np.flatnonzero(new)
+
+    held: list[pa.Table] = []
+    for b in _pieces(batches, rows):
+        held.append(pa.Table.from_batches([b]))
+        t = pa.concat_tables(held)
+        at = starts(t)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]), at[:-1]
+            held = [t.slice(at[-1])]
+    if held and sum(x.num_rows for x in held):
+        t = pa.concat_tables(held)
+        yield t, starts(t)
+
+
+def _pairs(t: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the cells' pairs: of any two rows, or of two stripes one of each; about PAIRS at a time."""
+    side, own = _number(t, "side"), _number(t, "i") == _number(t, "j")
+    p, q, n = [], [], 0
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), t.num_rows], strict=True):
+        edge = lo + int((side[lo:hi] == 0).sum())
+        for x in range(lo, hi - 1 if own[lo] else edge):
+            y = np.arange(x + 1 if own[lo] else edge, hi)
+            p.append(np.full(len(y), x)), q.append(y)
+            n += len(y)
+            if n >= PAIRS:
+                yield np.concatenate(p), np.concatenate(q)
+                p, q, n = [], [], 0
+    if n:
+        yield np.concatenate(p), np.concatenate(q)
+
+
+def _prefixes(t: pa.Table, trees: int, shortest: int, levels: list[int]) -> list[np.ndarray]:
+    """For each level a key of every row's prefix in every trie (rows x trees)."""
+    width = label_bytes(shortest, max(levels))
+    every = _bytes(t.column("labels"), trees * width).reshape(t.num_rows, trees, width)
+    h = every[:, :, :8].copy().view(np.uint64)[:, :, 0]
+    out, done = {shortest: h}, shortest
+    for d in sorted(levels):
+        for k in range(done, d):
+            h = (h ^ (every[:, :, 8 + k - shortest].astype(np.uint64) + np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD)
+            h = h ^ (h >> np.uint64(32))
+        out[d], done = h, d
+    return [out[d] for d in levels]
+
+
+def needed(t: pa.Table, first: np.ndarray, trees: int, shortest: int, levels: list[int], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs that their cell handles, and the number of the deepest level at which they meet in any trie.
+
+    A pair is handled in the first trie in which it meets, if the sets' sizes allow the similarity.
+    """
+    prefix, tree, size = _prefixes(t, trees, shortest, levels), _number(t, "tree"), _number(t, "n_grams")
+    for p, q in _pairs(t, first):
+        for at in range(0, len(p), PAIRS):
+            a, b = p[at : at + PAIRS], q[at : at + PAIRS]
+            fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+            a, b = a[fits], b[fits]
+            here = (prefix[-1][a] == prefix[-1][b]).argmax(axis=1) == tree[a]
+            a, b = a[here], b[here]
+            level = np.full(len(a), len(levels) - 1)
+            for k in range(len(levels) - 2, -1, -1):
+                level[(prefix[k][a] == prefix[k][b]).any(axis=1)] = k
+            yield a, b, level
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -143,7 +271,7 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     row_a, col_a, row_b, col_b = row_a[in_a], col_a[in_a], row_b[in_b], col_b[in_b]
     order_a, order_b = np.argsort(col_a, kind="stable"), np.argsort(col_b, kind="stable")
     row_a, col_a, row_b, col_b = row_a[order_a], col_a[order_a], row_b[order_b], col_b[order_b]
-    width = 8192
+    width = 4096
     for at in range(0, len(both), width):
         i, j = np.searchsorted(col_a, [at, at + width]), np.searchsorted(col_b, [at, at + width])
         w = min(width, len(both) - at)
@@ -154,121 +282,147 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(linked: np.ndarray, rep_a: np.ndarray, rep_b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links, as (node, root) by union-find."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, row in enumerate(linked):
-        for j in np.flatnonzero(row):
-            p, q = find(int(rep_a[i])), find(int(rep_b[j]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    return [(x, find(x)) for x in list(root)]
-
+def common_grams(grams: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Numbers of common n-grams of pairs of sorted sets: by search where pairs are few, by matrices where they're many of few sets."""
+    a, at_a = np.unique(p, return_inverse=True)
+    b, at_b = np.unique(q, return_inverse=True)
+    if len(p) > 4 * (len(a) + len(b)):
+        return _common([grams[x] for x in a], [grams[x] for x in b])[at_a, at_b]
+    out = np.zeros(len(p))
+    for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        short, long = (grams[x], grams[y]) if len(grams[x]) <= len(grams[y]) else (grams[y], grams[x])
+        out[k] = (long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum()
+    return out
 
-def _sides(t: pa.Table):
-    """The members of a cell's one or two stripes, in order of rep."""
-    t = t.sort_by([("side", "ascending"), ("rep", "ascending")])
-    side = t.column("side").to_numpy()
-    edge = int((side == 0).sum())
-    return t, (t.slice(0, edge), t.slice(edge)) if edge < t.num_rows else (t, t)
 
+def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n rows the first row that links lead to."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[p], root[q])
+        np.minimum.at(new, root[q], root[p])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-def _numbers(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).to_numpy()
 
+def enough(bands: dict[int, int], depth: int, similarity: float, recall: float, trees: int) -> bool:
+    """Whether prefixes of `depth` values reach the recall, by the links found so far in bands of similarity.
 
-def _keys(t: pa.Table, trees: int) -> np.ndarray:
-    return t.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, trees)
+    They do if every band in which a link was found meets at this depth with that
+    probability, and the other bands, where none was found, hold less than MISSED pairs
+    that don't meet (95 % bound: none of 3 / p pairs would be found with probability 0.05).
+    """
+    chance = [reached(similarity + (1 - similarity) * k / BANDS, depth, trees) for k in range(BANDS)]
+    low = [k for k in range(BANDS) if chance[k] < recall]
+    return not any(bands.get(k) for k in low) and sum(3 * (1 - chance[k]) / chance[k] for k in low) < MISSED
 
 
-def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> DataFrame:
-    """doc_id, class_id, n_links, n_grams for every row of `docs` (doc_id, text).
+def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> DataFrame:
+    """doc_id, class_id, n_links, n_grams, class_key for every row of `docs` (doc_id, text).
 
     class_id is the smallest doc_id that links lead to; a link joins documents whose
     sets of word n-grams have a Jaccard similarity of `similarity` or more. n_links
-    counts a document's linked documents, equal ones included. Every pair that
-    shares a key is verified exactly; a pair just at the threshold is missed with
+    counts a document's linked documents, equal ones included. Every pair that meets
+    in the forest is verified exactly; a pair just at the threshold is missed with
     probability 1 - `recall`, nearer ones far less. Texts without a word (null,
     empty) link to nothing. Rows that repeat a doc_id with an equal set count once
-    each in n_links; with different sets, they join those sets' classes. Rows with
-    a null doc_id have null class and no links.
+    each in n_links. Rows of one doc_id with different sets are told apart and don't
+    link these sets; as two classes may then have the same smallest id, class_key
+    (a hash, null for rows without a class) names the class itself. Rows with a null
+    doc_id have null class and no links. Extra columns are ignored.
     """
-    depth = depth_for(similarity, recall, trees)
-    sig = cut(signatures(docs, n, trees, depth), "signatures")
-    some = sig.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")), "representatives")
-    reps = reps.withColumn("set", F.col("d1"))
-    tree_keys = reps.select("set", F.posexplode("keys").alias("tree", "key"))
-    full = tree_keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = tree_keys.join(full, ["tree", "key"])
-    stripes = F.ceil(F.col("members") / F.lit(STRIPE)).cast("int")
-    member = member.withColumn("stripes", stripes).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
+    shortest = depth_for(similarity, recall, trees, deepest)
+    levels, width = levels_of(shortest, deepest), label_bytes(shortest, deepest)
+    sig = cut(signatures(docs, n, trees, shortest, deepest), "signatures")
+    some = sig.where("set IS NOT NULL AND doc_id IS NOT NULL")
+    reps = cut(some.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("labels").alias("labels")).select("set", "rep.*", "copies", "n_grams", "labels"), "sets")
+    one = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr("labels", t * width + 1, F.lit(width)))).alias("tree", "label")
+    tries = reps.select("set", F.col("n_grams"), one).repartitionByRange("tree", "label", "set").sortWithinPartitions("tree", "label")
+    rows = cut(meeting(tries, width), "meeting")
+    full = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")
+    stripes = F.greatest(F.ceil(F.col("members") / STRIPE), F.ceil(F.col("grams") / STRIPE_GRAMS))
+    full = full.select("tree", "key", F.least(stripes, "members").cast("int").alias("stripes"))
+    member = rows.select("set", "tree", "key").join(full, ["tree", "key"]).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
     with_other = member.select("set", "tree", "key", "stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other"))
     member = with_other.select("set", "tree", "key", F.least("stripe", "other").alias("i"), F.greatest("stripe", "other").alias("j"), (F.col("stripe") > F.col("other")).cast("int").alias("side"))
-    member = cut(member, "members")
-    cell = ["tree", "key", "i", "j"]
-    light = reps.select("set", F.col("set").alias("rep"), "n_grams", "copies", "keys")
-
-    def need(table: pa.Table) -> pa.Table:
-        t, (a, b) = _sides(table)
-        tree = int(_numbers(t, "tree")[0])
-        need = _needed(tree, _keys(a, trees), _keys(b, trees), _numbers(a, "n_grams"), _numbers(b, "n_grams"), similarity)
-        if a.num_rows == t.num_rows:
-            np.fill_diagonal(need, False)
-            used = need.any(axis=1)
-        else:
-            used = np.concatenate([need.any(axis=1), need.any(axis=0)])
-        return t.filter(pa.array(used)).select(["set", *cell, "side"])
-
-    member_type = "set long, tree int, key long, i int, j int, side int"
-    wanted = cut(member.join(light, "set").groupBy(*cell).applyInArrow(need, member_type), "needed")
-
-    ids = wanted.select("set").distinct().join(reps.select("set", F.col("rep").alias("doc_id"), "d1", "d2"), "set")
+    light = reps.select("set", "n_grams", "copies", "labels")
+    in_cells = lambda d: d.repartition(*CELL).sortWithinPartitions(*CELL, "side", "set")
+
+    def need(batches):
+        for t, first in whole_cells(batches):
+            used = np.zeros((t.num_rows, len(levels)), bool)
+            for p, q, level in needed(t, first, trees, shortest, levels, similarity):
+                used[p, level] = used[q, level] = True
+            row, level = np.nonzero(used)
+            yield from t.select(["set", *CELL, "side"]).take(pa.array(row)).append_column("level", pa.array(level, pa.int32())).to_batches()
+
+    wanted = cut(in_cells(member.join(light, "set")).mapInArrow(need, "set binary, tree int, key long, i int, j int, side int, level int"), "needed")
+    ids = wanted.select("set").distinct().join(reps.select("set", "doc_id", "text_hash"), "set")
 
     def grams_of(batches):
         for b in _pieces(batches, 512):
             g = [shingles(x, n) for x in b.column("text").to_pylist()]
-            h = [int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64)[0]) for x in g]
-            same = pa.array([x == y for x, y in zip(h, b.column("set").to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([b.column("set"), pa.array([x.tobytes() for x in g], pa.binary())], ["set", "grams"])
-            yield out.filter(same)
-
-    texts = docs.select("doc_id", "text").join(ids.select("set", "doc_id"), "doc_id")
-    grams = texts.mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"])
-    heavy = wanted.join(light, "set").join(grams, "set")
-
-    def verify(table: pa.Table) -> pa.Table:
-        t, (a, b) = _sides(table)
-        tree, own = int(_numbers(t, "tree")[0]), a.num_rows == t.num_rows
-        n_a, n_b = _numbers(a, "n_grams"), _numbers(b, "n_grams")
-        need = _needed(tree, _keys(a, trees), _keys(b, trees), n_a, n_b, similarity)
-        read = lambda x: [np.frombuffer(v.as_buffer(), np.uint64) for v in x.column("grams").combine_chunks()]
-        sets_a = read(a)
-        common = _common(sets_a, sets_a if own else read(b))
-        linked = need & (common >= similarity * (n_a[:, None] + n_b[None] - common) - 1e-4)
-        if own:
-            np.fill_diagonal(linked, False)
-        rep_a, rep_b = _numbers(a, "rep"), _numbers(b, "rep")
-        links = dict(zip(rep_a.tolist(), (linked @ _numbers(b, "copies")).tolist(), strict=True))
-        if not own:
-            links |= dict(zip(rep_b.tolist(), (_numbers(a, "copies") @ linked).tolist(), strict=True))
-        roots = dict(_forest(linked, rep_a, rep_b))
-        rows = [(x, k, roots.get(x, x)) for x, k in links.items() if k]
-        return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["set", "links", "to"])
-
-    found = cut(heavy.groupBy(*cell).applyInArrow(verify, "set long, links long, to long"), "links")
-    classes = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
-    counts = found.groupBy("set").agg(F.sum("links").alias("links"))
-    own = reps.select("set", "rep", "copies").join(classes, "set", "left").join(counts, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    names = own.groupBy("root").agg(F.min("rep").alias("class_id"))
-    own = own.join(names, "root").select(F.col("set").alias("d1"), "class_id", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("links"))
-    out = sig.select("doc_id", "d1", "n_grams").join(own, "d1", "left")
-    alone = F.col("doc_id").isNull() | F.col("d1").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("links")).alias("n_links"), "n_grams")
+            same = pa.array([digest(x) == y for x, y in zip(g, b.column("set").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([x.tobytes() for x in g], pa.binary())], ["set", "grams"]).filter(same)
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
+    grams = texts.select("set", "text").mapInArrow(grams_of, "set binary, grams binary").dropDuplicates(["set"])
+
+    def verify(at):
+        def run(batches):
+            for t, first in whole_cells(batches, 256):
+                size, copies = _number(t, "n_grams"), _number(t, "copies")
+                read = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("grams")]
+                links, bands, ends = np.zeros(t.num_rows, np.int64), np.zeros(BANDS, np.int64), []
+                for p, q, level in needed(t, first, trees, shortest, levels, similarity):
+                    p, q = p[level == at], q[level == at]
+                    if not len(p):
+                        continue
+                    common = common_grams(read, p, q)
+                    union = size[p] + size[q] - common
+                    linked = common >= similarity * union - 1e-6
+                    p, q, near = p[linked], q[linked], (common / union)[linked]
+                    np.add.at(links, p, copies[q])
+                    np.add.at(links, q, copies[p])
+                    bands += np.bincount(np.clip(((near - similarity) / (1 - similarity + 1e-9) * BANDS).astype(int), 0, BANDS - 1), minlength=BANDS)
+                    ends.append((p, q))
+                if not links.any():
+                    continue
+                root = forest(t.num_rows, *map(np.concatenate, zip(*ends, strict=True)))
+                row = np.flatnonzero(links)
+                out = t.select(["set"]).take(pa.array(row)).append_column("links", pa.array(links[row])).append_column("to", t.column("set").take(pa.array(root[row])))
+                none = pa.nulls(len(row), pa.list_(pa.int64()))
+                yield from out.append_column("bands", none).to_batches()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([bands.tolist()], pa.list_(pa.int64()))], ["set", "links", "to", "bands"])
+
+        return run
+
+    used = {r["level"] for r in wanted.select("level").distinct().collect()}  # one row a level
+    found, bands = None, {}
+    if used:
+        grams = cut(grams, "grams")
+    for at, depth in enumerate(levels):
+        if at in used:
+            heavy = wanted.where(F.col("level") == at).drop("level").join(light, "set").join(grams, "set")
+            here = cut(in_cells(heavy).mapInArrow(verify(at), "set binary, links long, to binary, bands array<long>"), "links")
+            for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
+                bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
+            here = here.where("set IS NOT NULL").drop("bands")
+            found = here if found is None else found.unionByName(here)
+        if enough(bands, depth, similarity, recall, trees):
+            break
+    own = reps.select("set", "doc_id", "copies")
+    if found is None:
+        own = own.select("set", F.col("set").alias("root"), F.lit(0).cast("long").alias("links"), "copies", "doc_id")
+    else:
+        classes = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
+        counts = found.groupBy("set").agg(F.sum("links").alias("links"))
+        own = own.join(classes, "set", "left").join(counts, "set", "left").select("set", F.coalesce("root", "set").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies", "doc_id")
+    names = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    own = own.join(names, "root").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.xxhash64("root").alias("class_key"))
+    out = sig.select("doc_id", "set", "n_grams").join(own, "set", "left")
+    alone = F.col("doc_id").isNull() | F.col("set").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"), "n_grams", F.when(~alone, F.col("class_key")).alias("class_key"))

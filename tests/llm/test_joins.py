@@ -1,8 +1,10 @@
 """N-gram join, components, nearest neighbours and the pipeline: against brute force."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def brute_join(rows, similarity=0.8):
-    sets = [frozenset(ngram_join.shingles(t).tolist()) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
     n = len(rows)
     links = [[j for j in range(n) if j != i and sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9] for i in range(n)]
     out = []
@@ -70,6 +75,45 @@ def test_depth_is_shortened_until_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         d = ngram_join.depth_for(0.8, recall)
         assert 1 - (1 - 0.8**d) ** 32 >= recall > 1 - (1 - 0.8 ** (d + 1)) ** 32
+        levels = ngram_join.levels_of(d)
+        assert levels[0] == 16 and levels[-1] == d and levels == sorted(set(levels), reverse=True)
+
+
+def test_shortening_stops_by_what_was_found():
+    enough = lambda bands, depth: ngram_join.enough(bands, depth, 0.8, 0.9999, 32)
+    assert enough({}, 6) and enough({0: 9}, 6) and not enough({}, 16) and not enough({9: 5_000}, 16) and not enough({}, 11)
+    assert enough({}, 8) and enough({9: 20_000}, 8) and not enough({9: 20_000, 0: 1}, 8) and not enough({1: 1}, 8)
+
+
+def test_prefixes_agree_with_minima():
+    rng = random.Random(5)
+    grams = [ngram_join.shingles(" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(60))) for _ in range(3)]
+    grams.append(np.unique(np.r_[grams[0][:-2], grams[1][:2]]))
+    values = [ngram_join.minima(g, 8, 12) for g in grams]
+    assert all((v == ngram_join.minima(g, 8, 12, block=7)).all() for v, g in zip(values, grams, strict=True))
+    t = pa.table({"labels": pa.array([ngram_join.labels(v, 3).tobytes() for v in values], pa.binary())})
+    for level, keys in zip((12, 6, 3), ngram_join._prefixes(t, 8, 3, [12, 6, 3]), strict=True):
+        for i in range(4):
+            for j in range(4):
+                if (values[i][:, :level] == values[j][:, :level]).all(axis=1).any():
+                    assert ((values[i][:, :level] == values[j][:, :level]).all(axis=1) <= (keys[i] == keys[j])).all()
+    assert (np.array(values[0]) == np.array(values[3])).mean() > 0.8
+
+
+def test_join_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (2, a + " more"), (1, b), (3, b + " more"), (4, c), (4, c), (4, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_grams, r.class_id, r.n_links, r.class_key) for r in ngram_join.join(d).collect())
+    assert [x[:4] for x in got] == [(1, 36, 1, 1), (1, 36, 1, 1), (2, 37, 1, 1), (3, 37, 1, 1), (4, 36, 4, 2), (4, 36, 4, 2), (4, 36, 4, 2)]
+    assert len({x[4] for x in got}) == 3 and got[2][4] != got[3][4]
+
+
+def test_join_of_one_id_on_many_texts(spark):
+    rng = random.Random(6)
+    rows = [(7, " ".join(f"w{rng.randrange(9000)}" for _ in range(30))) for _ in range(300)] + [(8, "a b c d e f g"), (9, "a b c d e f g")]
+    got = joined(spark, rows)
+    assert [x for x in got if x[0] != 7] == [(8, 8, 1), (9, 8, 1)] and sum(x == (7, 7, 0) for x in got) == 300
 
 
 def test_components(spark):
