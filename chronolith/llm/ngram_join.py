@@ -40,7 +40,7 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 TREES = 32
-DEEPEST = 16
+DEEPEST = 14
 #: Bounds of a stripe: sets, and n-grams of them all (a single longer set is a stripe's only one or shares it by chance).
 STRIPE = 512
 STRIPE_GRAMS = 1 << 18
@@ -117,44 +117,41 @@ def minima(grams: np.ndarray, trees: int, depth: int, block: int = 512) -> np.nd
     return out.reshape(trees, depth)
 
 
-def label_bytes(shortest: int, deepest: int) -> int:
-    return 8 + deepest - shortest
+def _number(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
 
 
-def labels(values: np.ndarray, shortest: int) -> np.ndarray:
-    """Each trie's label (trees x label_bytes, uint8): eight bytes for the first `shortest` values, different for each trie, then a byte for each further one."""
+def labels(values: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each trie's label as two longs: a key of the first `shortest` values, different for each trie, and a byte of each further one (eight at most)."""
     h = np.arange(1, len(values) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for level in values.T[:shortest]:
         h = (h ^ level.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
-    more = (values[:, shortest:] * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    return np.concatenate([h.view(np.uint8).reshape(-1, 8), more.astype(np.uint8)], axis=1)
+    more = np.zeros((len(values), 8), np.uint8)
+    more[:, : values.shape[1] - shortest] = (values[:, shortest:] * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return h.view(np.int64), more.view(">i8").ravel().astype(np.int64)
 
 
 def signatures(docs: DataFrame, n: int, trees: int, shortest: int, deepest: int) -> DataFrame:
-    """doc_id, text_hash, set (a digest; null without words), n_grams, labels (all tries' labels)."""
+    """doc_id, text_hash, name (a digest of the set; null without words), n_grams, keys and deep (all tries' labels)."""
 
     def run(batches):
         for b in _pieces(batches, 512):
-            sets, sizes, all_labels = [], [], []
+            names, sizes, keys, deep = [], [], [], []
             for x in b.column("text").to_pylist():
                 g = shingles(x, n)
                 sizes.append(len(g))
-                sets.append(digest(g) if len(g) else None)
-                all_labels.append(labels(minima(g, trees, deepest), shortest).tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(all_labels, pa.binary())], ["doc_id", "text_hash", "set", "n_grams", "labels"])
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, set binary, n_grams long, labels binary")
+                names.append(digest(g) if len(g) else None)
+                key, more = labels(minima(g, trees, deepest), shortest) if len(g) else (None, None)
+                keys.append(key), deep.append(more)
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, long), pa.array(deep, long)], ["doc_id", "text_hash", "name", "n_grams", "keys", "deep"])
 
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, name binary, n_grams long, keys array<long>, deep array<long>")
 
-def _bytes(column, width: int) -> np.ndarray:
-    """A binary column of equally long values as rows x width bytes."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
-
-def meeting(sorted_labels: DataFrame, width: int) -> DataFrame:
-    """The rows (tree, key, set, n_grams) of sorted labels that share tree and shortest prefix with a neighbour.
+def meeting(sorted_labels: DataFrame) -> DataFrame:
+    """The rows (tree, key, set) of sorted labels that share trie and shortest prefix with a neighbour.
 
     The first and the last row of a partition always stay: their neighbours are in another one.
     """
@@ -166,27 +163,20 @@ def meeting(sorted_labels: DataFrame, width: int) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b])
             t = t if held is None else pa.concat_tables([held, t])
-            key = _bytes(t.column("label"), width)[:, :8].copy().view(np.int64).ravel()
-            tree = t.column("tree").to_numpy()
-            same = (key[1:] == key[:-1]) & (tree[1:] == tree[:-1])
-            stays = np.r_[before, same[:-1]] | same if len(same) else np.zeros(0, bool)
-            out = t.slice(0, t.num_rows - 1).filter(pa.array(stays))
-            yield from out.select(["tree", "set", "n_grams"]).append_column("key", pa.array(key[:-1][stays])).select(["tree", "key", "set", "n_grams"]).to_batches()
-            held, before = t.slice(t.num_rows - 1).combine_chunks(), bool(same[-1]) if len(same) else before
+            same = np.all([_number(t, c)[1:] == _number(t, c)[:-1] for c in ("tree", "key")], axis=0)
+            if len(same):
+                yield from t.slice(0, len(same)).filter(pa.array(np.r_[before, same[:-1]] | same)).to_batches()
+                before = bool(same[-1])
+            held = t.slice(t.num_rows - 1)
         if held is not None:
-            key = _bytes(held.column("label"), width)[:, :8].copy().view(np.int64).ravel()
-            yield from held.select(["tree", "set", "n_grams"]).append_column("key", pa.array(key)).select(["tree", "key", "set", "n_grams"]).to_batches()
+            yield from held.to_batches()
 
-    return sorted_labels.mapInArrow(run, "tree int, key long, set binary, n_grams long")
+    return sorted_labels.select("tree", "key", "set").mapInArrow(run, "tree int, key long, set long")
 
 
 CELL = ["tree", "key", "i", "j"]
 
 
-def _number(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).to_numpy()
-
-
 def whole_cells(batches, rows: int = 2048) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole cells from batches sorted by cell and side, and the first row of each cell."""
 
@@ -225,15 +215,18 @@ def _pairs(t: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.concatenate(p), np.concatenate(q)
 
 
+def _lists(t: pa.Table, name: str, trees: int) -> np.ndarray:
+    return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, trees)
+
+
 def _prefixes(t: pa.Table, trees: int, shortest: int, levels: list[int]) -> list[np.ndarray]:
     """For each level a key of every row's prefix in every trie (rows x trees)."""
-    width = label_bytes(shortest, max(levels))
-    every = _bytes(t.column("labels"), trees * width).reshape(t.num_rows, trees, width)
-    h = every[:, :, :8].copy().view(np.uint64)[:, :, 0]
+    h, deep = _lists(t, "keys", trees).view(np.uint64), _lists(t, "deep", trees).view(np.uint64)
     out, done = {shortest: h}, shortest
     for d in sorted(levels):
-        for k in range(done, d):
-            h = (h ^ (every[:, :, 8 + k - shortest].astype(np.uint64) + np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD)
+        for k in range(done - shortest, d - shortest):
+            level = deep >> np.uint64(56 - 8 * k) & np.uint64(0xFF)
+            h = (h ^ (level + np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD)
             h = h ^ (h >> np.uint64(32))
         out[d], done = h, d
     return [out[d] for d in levels]
@@ -335,20 +328,21 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     doc_id have null class and no links. Extra columns are ignored.
     """
     shortest = depth_for(similarity, recall, trees, deepest)
-    levels, width = levels_of(shortest, deepest), label_bytes(shortest, deepest)
+    deepest = min(deepest, shortest + 8)
+    levels = levels_of(shortest, deepest)
     sig = cut(signatures(docs, n, trees, shortest, deepest), "signatures")
-    some = sig.where("set IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(some.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("labels").alias("labels")).select("set", "rep.*", "copies", "n_grams", "labels"), "sets")
-    one = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr("labels", t * width + 1, F.lit(width)))).alias("tree", "label")
-    tries = reps.select("set", F.col("n_grams"), one).repartitionByRange("tree", "label", "set").sortWithinPartitions("tree", "label")
-    rows = cut(meeting(tries, width), "meeting")
-    full = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")
+    some = sig.where("name IS NOT NULL AND doc_id IS NOT NULL")
+    reps = some.groupBy("name").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys"), F.first("deep").alias("deep"))
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("set"), "name", "rep.*", "copies", "n_grams", "keys", "deep"), "sets")
+    tries = reps.select("set", "deep", F.posexplode("keys").alias("tree", "key")).select("set", "tree", "key", F.get("deep", "tree").alias("deep"))
+    rows = cut(meeting(tries.repartitionByRange("tree", "key", "deep", "set").sortWithinPartitions("tree", "key", "deep")), "meeting")
+    full = rows.join(reps.select("set", "n_grams"), "set").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")
     stripes = F.greatest(F.ceil(F.col("members") / STRIPE), F.ceil(F.col("grams") / STRIPE_GRAMS))
     full = full.select("tree", "key", F.least(stripes, "members").cast("int").alias("stripes"))
-    member = rows.select("set", "tree", "key").join(full, ["tree", "key"]).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
+    member = rows.join(full, ["tree", "key"]).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
     with_other = member.select("set", "tree", "key", "stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other"))
     member = with_other.select("set", "tree", "key", F.least("stripe", "other").alias("i"), F.greatest("stripe", "other").alias("j"), (F.col("stripe") > F.col("other")).cast("int").alias("side"))
-    light = reps.select("set", "n_grams", "copies", "labels")
+    light = reps.select("set", "n_grams", "copies", "keys", "deep")
     in_cells = lambda d: d.repartition(*CELL).sortWithinPartitions(*CELL, "side", "set")
 
     def need(batches):
@@ -359,17 +353,17 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             row, level = np.nonzero(used)
             yield from t.select(["set", *CELL, "side"]).take(pa.array(row)).append_column("level", pa.array(level, pa.int32())).to_batches()
 
-    wanted = cut(in_cells(member.join(light, "set")).mapInArrow(need, "set binary, tree int, key long, i int, j int, side int, level int"), "needed")
-    ids = wanted.select("set").distinct().join(reps.select("set", "doc_id", "text_hash"), "set")
+    wanted = cut(in_cells(member.join(light, "set")).mapInArrow(need, "set long, tree int, key long, i int, j int, side int, level int"), "needed")
+    ids = wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash"), "set")
 
     def grams_of(batches):
         for b in _pieces(batches, 512):
             g = [shingles(x, n) for x in b.column("text").to_pylist()]
-            same = pa.array([digest(x) == y for x, y in zip(g, b.column("set").to_pylist(), strict=True)])
+            same = pa.array([digest(x) == y for x, y in zip(g, b.column("name").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([x.tobytes() for x in g], pa.binary())], ["set", "grams"]).filter(same)
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
-    grams = texts.select("set", "text").mapInArrow(grams_of, "set binary, grams binary").dropDuplicates(["set"])
+    grams = texts.select("set", "name", "text").mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"])
 
     def verify(at):
         def run(batches):
@@ -396,7 +390,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
                 out = t.select(["set"]).take(pa.array(row)).append_column("links", pa.array(links[row])).append_column("to", t.column("set").take(pa.array(root[row])))
                 none = pa.nulls(len(row), pa.list_(pa.int64()))
                 yield from out.append_column("bands", none).to_batches()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([bands.tolist()], pa.list_(pa.int64()))], ["set", "links", "to", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bands.tolist()], pa.list_(pa.int64()))], ["set", "links", "to", "bands"])
 
         return run
 
@@ -407,22 +401,22 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     for at, depth in enumerate(levels):
         if at in used:
             heavy = wanted.where(F.col("level") == at).drop("level").join(light, "set").join(grams, "set")
-            here = cut(in_cells(heavy).mapInArrow(verify(at), "set binary, links long, to binary, bands array<long>"), "links")
+            here = cut(in_cells(heavy).mapInArrow(verify(at), "set long, links long, to long, bands array<long>"), "links")
             for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
                 bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
             here = here.where("set IS NOT NULL").drop("bands")
             found = here if found is None else found.unionByName(here)
         if enough(bands, depth, similarity, recall, trees):
             break
-    own = reps.select("set", "doc_id", "copies")
+    own = reps.select("set", "name", "doc_id", "copies")
     if found is None:
-        own = own.select("set", F.col("set").alias("root"), F.lit(0).cast("long").alias("links"), "copies", "doc_id")
+        own = own.withColumns({"root": F.col("set"), "links": F.lit(0).cast("long")})
     else:
         classes = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
         counts = found.groupBy("set").agg(F.sum("links").alias("links"))
-        own = own.join(classes, "set", "left").join(counts, "set", "left").select("set", F.coalesce("root", "set").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies", "doc_id")
-    names = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    own = own.join(names, "root").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.xxhash64("root").alias("class_key"))
-    out = sig.select("doc_id", "set", "n_grams").join(own, "set", "left")
-    alone = F.col("doc_id").isNull() | F.col("set").isNull()
+        own = own.join(classes, "set", "left").join(counts, "set", "left").withColumns({"root": F.coalesce("root", "set"), "links": F.coalesce("links", F.lit(0).cast("long"))})
+    first = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("name").alias("first"))
+    own = own.join(first, "root").select("name", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.xxhash64("first").alias("class_key"))
+    out = sig.select("doc_id", "name", "n_grams").join(own, "name", "left")
+    alone = F.col("doc_id").isNull() | F.col("name").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"), "n_grams", F.when(~alone, F.col("class_key")).alias("class_key"))

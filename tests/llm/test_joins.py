@@ -76,12 +76,12 @@ def test_depth_is_shortened_until_the_recall():
         d = ngram_join.depth_for(0.8, recall)
         assert 1 - (1 - 0.8**d) ** 32 >= recall > 1 - (1 - 0.8 ** (d + 1)) ** 32
         levels = ngram_join.levels_of(d)
-        assert levels[0] == 16 and levels[-1] == d and levels == sorted(set(levels), reverse=True)
+        assert levels[0] == 14 and levels[-1] == d and levels == sorted(set(levels), reverse=True)
 
 
 def test_shortening_stops_by_what_was_found():
     enough = lambda bands, depth: ngram_join.enough(bands, depth, 0.8, 0.9999, 32)
-    assert enough({}, 6) and enough({0: 9}, 6) and not enough({}, 16) and not enough({9: 5_000}, 16) and not enough({}, 11)
+    assert enough({}, 6) and enough({0: 9}, 6) and not enough({}, 14) and not enough({9: 5_000}, 14) and not enough({}, 10)
     assert enough({}, 8) and enough({9: 20_000}, 8) and not enough({9: 20_000, 0: 1}, 8) and not enough({1: 1}, 8)
 
 
@@ -89,10 +89,10 @@ def test_prefixes_agree_with_minima():
     rng = random.Random(5)
     grams = [ngram_join.shingles(" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(60))) for _ in range(3)]
     grams.append(np.unique(np.r_[grams[0][:-2], grams[1][:2]]))
-    values = [ngram_join.minima(g, 8, 12) for g in grams]
-    assert all((v == ngram_join.minima(g, 8, 12, block=7)).all() for v, g in zip(values, grams, strict=True))
-    t = pa.table({"labels": pa.array([ngram_join.labels(v, 3).tobytes() for v in values], pa.binary())})
-    for level, keys in zip((12, 6, 3), ngram_join._prefixes(t, 8, 3, [12, 6, 3]), strict=True):
+    values = [ngram_join.minima(g, 8, 11) for g in grams]
+    assert all((v == ngram_join.minima(g, 8, 11, block=7)).all() for v, g in zip(values, grams, strict=True))
+    t = pa.table({c: pa.array([ngram_join.labels(v, 3)[i] for v in values], pa.list_(pa.int64())) for i, c in enumerate(("keys", "deep"))})
+    for level, keys in zip((11, 6, 3), ngram_join._prefixes(t, 8, 3, [11, 6, 3]), strict=True):
         for i in range(4):
             for j in range(4):
                 if (values[i][:, :level] == values[j][:, :level]).all(axis=1).any():
