@@ -86,3 +86,15 @@ def smallest_hashes(df: DataFrame, h: Column, want: int, of: Column | None = Non
         return df.where(_zeros(h) >= least.get("", 0))
     levels = [F.lit(x) for g, z in least.items() for x in (g, z)]
     return df.where(_zeros(h) >= F.element_at(F.create_map(*levels), of)) if levels else df
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns named c0, c1, ..., which clash with none of an operator's own, and what each lower-cased old name became."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c.lower(): f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def renamed(old: DataFrame, added: list[Column], names: list[str], changed: dict[str, Column] | None = None) -> list[Column]:
+    """What to select from a `numbered` frame: the columns of `old` by their own names, but those named like one of `names`, then `added` by these."""
+    new = {n.lower() for n in names}
+    back = [(changed or {}).get(c.lower(), F.col(f"c{i}")).alias(c) for i, c in enumerate(old.columns) if c.lower() not in new]
+    return back + [a.alias(n) for a, n in zip(added, names, strict=True)]

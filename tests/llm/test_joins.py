@@ -1,5 +1,6 @@
 """N-gram join, components, nearest neighbours and the pipeline: against brute force."""
 
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolith.llm import components, neighbours, ngram_join, shared
+from chronolith.llm import components, mixing, neighbours, ngram_join, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -244,6 +245,33 @@ def test_near_copies_are_decided_by_row(spark):
     assert got == sorted([(1, a), (2, b), (3, c), (3, e), (None, "no copy of this one"), (4, None)], key=repr)
 
 
+def test_mix_stage_hands_out_every_token(spark, tmp_path):
+    rows = [(None, "a b c d e f g", "en", "s", 0)] * 9 + [(4, "a b c", "en", "s", 0)] * 4 + [(4, "x", "en", "t", 0), (5, None, "en", "t", 0), (6, "", "fr", None, 0), (7, "p q r", "fr", None, 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("_taken", F.lit("own"))
+    d.write.parquet(str(tmp_path / "docs"))
+    results = []
+    for docs in (d, spark.read.parquet(str(tmp_path / "docs"))):
+        got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+        assert docs.columns == list(got[0].asDict()) and {r["_taken"] for r in got} == {"own"} and all(r.n_chars == len(r.text) for r in got)
+        results.append(sorted((str(r.source), str(r.doc_id), r.text) for r in got))
+        words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s", "t", None)}
+        want = {r.source: math.floor(r.target) for r in mixing.mix(docs).collect()}
+        assert words == want
+    assert results[0] == results[1]
+
+
+def test_stages_of_nothing_and_of_clashing_columns(spark):
+    none = spark.createDataFrame([], DOCS)
+    odd = spark.createDataFrame([(1, "the river runs by the stone", "en", "a", 0, 1, 2, 3)] * 2 + [(None, None, None, None, None, None, None, None)], DOCS + ", score int, N_lines int, _row int")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+        got = stage(spark, odd, "")
+        if name != "bpe":
+            assert got.columns == odd.columns
+            assert all(r.score == 1 and r["N_lines"] == 2 and r["_row"] == 3 for r in got.collect() if r.doc_id == 1)
+        assert got.where("doc_id = 1").count() == (1 if name == "near_copies" else got.where("doc_id = 1").count())
+
+
 def test_first_words_keep_white_space(spark):
     d = spark.createDataFrame([("  a  b\tc\n d ",)], "text string")
     got = [d.select(corpus_pipeline.first_words(F.col("text"), F.lit(n))).first()[0] for n in (1, 2, 3, 4)]

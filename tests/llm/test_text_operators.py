@@ -74,6 +74,21 @@ def test_mix_meets_its_budgets(docs):
     assert sorted((str(r.doc_id), r.taken) for r in again) == sorted((str(r.doc_id), r.taken) for r in got)
 
 
+def test_mix_of_hot_rows_equals_a_line_of_tokens(spark):
+    rows = [(None, "a b c", "en", "s", 0)] * 400 + [(7, f"w{i} x", "en", "s", 0) for i in range(50)] + [(None, None, None, "s", 0)] * 90 + [(i, "one two three four", "en", "t", 0) for i in range(30)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit("own")).withColumn("slice", F.lit(1)).withColumn("Taken", F.lit(-1))
+    got = mixing.mix(d.repartition(5), slice_rows=16, carry=["lang", "key", "slice", "Taken"]).collect()
+    assert got[0].asDict().keys() == {"doc_id", "size", "source_size", "target", "taken", "source", "token_start", "lang", "key", "slice"} and {r.key for r in got} == {"own"}
+    assert sorted((str(r.doc_id), r["size"], r.source, r.lang) for r in got) == sorted((str(i), len((t or "").split()), s, k) for i, t, k, s, _ in rows)
+    for s in "st":
+        own = sorted((r.token_start, r["size"], r.taken) for r in got if r.source == s and r["size"])
+        ends = [a + n for a, n, _ in own]
+        assert [a for a, _, _ in own] == [0, *ends[:-1]]
+        budget = math.floor(next(r.target for r in got if r.source == s))
+        epochs, rest = divmod(budget, ends[-1])
+        assert all(t == epochs * n + min(max(rest - a, 0), n) for a, n, t in own) and sum(t for *_, t in own) == budget
+
+
 def test_mix_of_nothing(none):
     assert mixing.mix(none).count() == 0
 
@@ -153,6 +168,33 @@ def test_line_dedup_can_keep_the_first(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_line_dedup_of_hot_and_cold_keys(spark, monkeypatch, keep):
+    rng = random.Random(12)
+    line = lambda: rng.choice(["everywhere", " EVERYWHERE ", f"cold {rng.randrange(60)}", f"only {rng.random()}", ""])
+    rows = [(rng.choice([None, 3, i]), "\n".join(line() for _ in range(rng.randrange(1, 6))), "en", "a", 0) for i in range(300)]
+    rows += rows[:20]  # repeated rows
+    d = spark.createDataFrame(rows, DOCS).withColumn("lines", F.lit("own")).withColumn("runs", F.lit(0)).withColumn("N_Dropped", F.lit("x"))
+    who = lambda i, t: ("text", t) if i is None else i
+    seen, hot = {}, line_dedup.hot_hashes
+    for i, t, *_ in rows:
+        for x in t.split("\n"):
+            seen.setdefault(x.strip().lower(), set()).add(who(i, t))
+    for share in (1 / 512, 1 / 4, 2.0):
+        monkeypatch.setattr(line_dedup, "hot_hashes", lambda lines, share=share: hot(lines, share))
+        got = line_dedup.line_dedup(d, 5, keep_first=keep).collect()
+        assert all(r.lines == "own" and r.runs == 0 for r in got) and "N_Dropped" not in got[0].asDict()
+        common = {k for k, v in seen.items() if k and len(v) >= 5}
+        if not keep:
+            assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), "\n".join(x for x in t.split("\n") if x.strip().lower() not in common)) for i, t, *_ in rows)
+        else:
+            left = {}
+            for r in got:
+                for x in set(r.text.split("\n")):
+                    left.setdefault(x.strip().lower(), []).append((r.doc_id, r.text))
+            assert all(len({who(*x) for x in left[k]}) >= 1 for k in common) and sum(len(set(left[k])) for k in common) == len(common)
+
+
 def test_keep_bitmaps_are_runs(spark):
     rows = [(i, "x\na%d\nb%d\nx\nx\nc%d" % (i, i, i), "en", "a", 0) for i in range(3)]
     got = line_dedup.keep_bitmaps(spark.createDataFrame(rows, DOCS), 3).first()
