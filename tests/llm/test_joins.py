@@ -156,6 +156,44 @@ def test_neighbours_of_few_rows_are_exact(spark):
     assert got == brute_neighbours(single)
 
 
+def test_neighbours_of_huge_and_tiny_vectors_and_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((130, 6))
+    rows = [(i, (v * 10.0 ** [0, 200, -200, 300][i % 4]).tolist()) for i, v in enumerate(x)]
+    short = [(1000 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((9, 3)))]
+    ids = [(2000, x[0].tolist()), (2000, x[1].tolist()), (2000, x[1].tolist()), (0, x[7].tolist())]  # one id on two vectors; repeated rows
+    d = spark.createDataFrame(rows + short + ids, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(d).collect())
+    want = []
+    for group, by_id in ((rows + ids, {}), (short, {})):
+        for i, v in group:
+            by_id.setdefault(i, []).append(np.array(v) / np.abs(v).max())
+        for q in (i for i in by_id if i % 50 == 0):
+            asks = np.array(min(v for i, v in group if i == q))
+            asks = asks / np.abs(asks).max()
+            cos = lambda v: float(v @ asks / np.linalg.norm(v) / np.linalg.norm(asks))  # noqa: B023, E731
+            s = sorted((-round(max(map(cos, vs)), 12), i) for i, vs in by_id.items() if i != q)[:5]
+            want += [(q, r, i) for r, (_, i) in enumerate(s, 1)]
+    assert got == sorted(want)
+
+
+def test_scan_keeps_the_nearest():
+    rng = np.random.default_rng(8)
+    c = neighbours.unit(rng.standard_normal((3000, 64)))
+    q = neighbours.unit(c[:40] + 0.3 * rng.standard_normal((40, 64)))
+    i, j = neighbours.scan(q, c, 6)
+    whole = ((q[:, None] - c[None]) ** 2).sum(axis=2)
+    best = np.argsort(whole, axis=1)[:, :6]
+    kept = [set(j[i == k].tolist()) for k in range(40)]
+    hits = sum(len(kept[k] & set(best[k].tolist())) for k in range(40))
+    assert hits >= 0.95 * 240 and len(j) < 0.2 * whole.size
+    bound = np.sort(whole, axis=1)[:, 2] + 1e-9
+    i, j = neighbours.scan(q, c, 6, bound)
+    assert (whole[i, j] <= bound[i] * (1 + 1e-6)).all()
+    few = neighbours.scan(q[:2], c[:3], 6)
+    assert few[0].tolist() == [0, 0, 0, 1, 1, 1]
+
+
 def test_neighbours_of_one_row_and_none(spark):
     d = spark.createDataFrame([(50, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert neighbours.search(d).count() == 0 and neighbours.search(d.limit(0)).count() == 0
