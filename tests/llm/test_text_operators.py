@@ -237,6 +237,71 @@ def test_media_tables_of_other_writers():
     assert t["starts"].tolist() == [8, 11, 16, 18] and len(t["sync"]) == 4 and media.payload_of(data, t) == payload
 
 
+def track(*tables, ident=1, entries=b"raw "):
+    import struct
+
+    stbl = media.box(b"stbl", media.full_box(b"stsd", struct.pack(">I", 1), media.box(entries, bytes(28))), *tables)
+    mdhd = media.full_box(b"mdhd", struct.pack(">4I2H", 0, 0, 10, 5, 0, 0))
+    tkhd = media.full_box(b"tkhd", struct.pack(">5I", 0, 0, ident, 0, 0) + bytes(60))
+    return media.box(b"trak", tkhd, media.box(b"mdia", mdhd, media.box(b"minf", stbl)))
+
+
+def test_media_with_impossible_counts_gets_nulls(spark):
+    import struct
+
+    huge = 0xFFFFFFFF
+    stsc = media.full_box(b"stsc", struct.pack(">4I", 1, 1, 2, 1))
+    stco = media.full_box(b"stco", struct.pack(">2I", 1, 8))
+    size = lambda n, each=1: media.full_box(b"stsz", struct.pack(">2I", each, n))
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    whole = lambda *tables: media.box(b"mdat", b"abcdefgh") + media.box(b"moov", track(*tables))
+    cases = [
+        whole(size(huge), stsc, stco),
+        whole(size(2), media.full_box(b"stsc", struct.pack(">4I", huge, 1, 2, 1)), stco),
+        whole(size(2), media.full_box(b"stsc", struct.pack(">4I", 1, huge, 2, 1)), stco),
+        whole(size(2, 500), stsc, stco),  # beyond the file
+        whole(size(2), stsc, media.full_box(b"co64", struct.pack(">IQ", 1, (1 << 64) - 8))),
+        whole(size(2), stsc, media.full_box(b"stco", struct.pack(">I", huge))),
+        nested,
+        media.box(b"mdat", bytes(800)) + media.box(b"moov", *(track(size(700), stsc, stco) for _ in range(90))),
+        media.box(b"moov", track(size(0), stsc, stco)) + media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 1)), *(media.full_box(b"trun", struct.pack(">I", huge)) for _ in range(3)))),
+        whole(media.full_box(b"stz2", struct.pack(">2I", 7, 2), b"ab"), stsc, stco),
+    ]
+    good = whole(size(2), media.full_box(b"stsc", struct.pack(">4I", 1, 1, huge, 1)), stco)  # a chunk may have room for more
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*cases, good])], "i int, media binary")
+    got = sorted((r.i, r.codec, r.n_samples) for r in media.media_columns(d, digests=True).collect())
+    assert got == [(i, None, None) for i in range(len(cases))] + [(len(cases), "raw ", 2)]
+
+
+def test_media_compact_sizes_and_fragments():
+    import struct
+
+    stsc, stco = media.full_box(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), media.full_box(b"stco", struct.pack(">2I", 1, 8))
+    for width, table in ((4, bytes([0x31, 0x20])), (8, bytes([3, 1, 2])), (16, struct.pack(">3H", 3, 1, 2))):
+        data = media.box(b"mdat", b"abcdef") + media.box(b"moov", track(media.full_box(b"stz2", struct.pack(">2I", width, 3), table), stsc, stco))
+        (t,) = media.parse(data)
+        assert t["sizes"].tolist() == [3, 1, 2] and media.payload_of(data, t) == b"abcdef"
+    none = [media.full_box(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [media.full_box(b"stsz", struct.pack(">2I", 0, 0))]
+    trex = media.box(b"mvex", media.full_box(b"trex", struct.pack(">5I", 7, 1, 4, 2, 0x10000)))
+    head = media.box(b"moov", track(*none, ident=7), trex)
+
+    def moof(shift):
+        first = media.full_box(b"trun", struct.pack(">Ii", 2, shift) + struct.pack(">I", 0), flags=0x5)  # defaults; the first is a sync sample
+        second = media.full_box(b"trun", struct.pack(">I", 2) + struct.pack(">6I", 9, 3, 0, 9, 1, 0x10000), flags=0x700)
+        return media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 7), flags=0x20000), first, second))
+
+    data = head + moof(len(moof(0)) + 8) + media.box(b"mdat", b"abcdefgh")
+    (t,) = media.parse(data)
+    assert media.payload_of(data, t) == b"abcdefgh" and t["sizes"].tolist() == [2, 2, 3, 1]
+    assert t["sync"].tolist() == [0, 2] and (t["duration"], t["timescale"]) == (4 + 4 + 9 + 9, 10)
+    stray = bytearray(data)
+    stray[data.index(b"trun") + 12 : data.index(b"trun") + 16] = struct.pack(">i", 1 << 30)
+    with pytest.raises(ValueError):
+        media.parse(bytes(stray))
+
+
 def test_hilbert_visits_neighbours():
     for d, bits in ((2, 3), (3, 2)):
         points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
