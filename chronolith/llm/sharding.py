@@ -2,22 +2,23 @@
 
 Each dimension is quantised to cells of about equally many rows: a value's share of
 rows that sort before it, so a source with a third of all rows spans a third of its
-axis. Rows are range-sorted by curve index (then text checksum, so equal texts stay
-together, then id), which splits even a cell that holds most rows. Ranks over the
-sorted table come from one row count per partition, and the order is cut into runs
-whose counts differ by one at most. Shards then cover small boxes of the metadata
-space, which lets a reader prune whole shards on any of the dimensions.
+axis. Rows are range-sorted by curve index, then text checksum, then id, which splits
+even a cell that holds most rows. Ranks over the sorted table come from one row count
+per partition, and the order is cut into runs whose counts differ by one at most.
+Shards then cover small boxes of the metadata space, which lets a reader prune whole
+shards on any of the dimensions. Equal texts with equal metadata lie side by side, so a
+group of them is cut only at a shard's edge; equal texts whose metadata differ lie
+apart, as the curve goes first and the counts must stay even.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, numbered, renamed
 
 SHARDS = 40
 BITS = 8
@@ -60,12 +61,12 @@ def with_cells(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     so a dimension with as many values as rows isn't sorted in one task.
     """
     for c in dims:
-        counts = cut(df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "cells")
-        parts = counts.groupBy("part").agg(F.sum("n").alias("part_n"))
-        parts = parts.select("part", F.coalesce(F.sum("part_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("part_n").over(Window.partitionBy()).alias("total"))
-        inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cells = counts.join(parts, "part").select("v", F.floor((F.col("ahead") + F.sum("n").over(inside) - F.col("n")) * F.lit(1 << bits) / F.col("total")).cast("int").alias(f"cell_{c}"))
-        df = df.join(cells, F.col(c).eqNullSafe(F.col("v")), "left").drop("v")
+        counts = cut(df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange("value").sortWithinPartitions("value").withColumn("slice", F.spark_partition_id()), "cells")
+        slices = counts.groupBy("slice").agg(F.sum("n").alias("slice_n"))
+        slices = slices.select("slice", F.coalesce(F.sum("slice_n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("slice_n").over(Window.partitionBy()).alias("total"))
+        inside = Window.partitionBy("slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = counts.join(slices, "slice").select(F.col("value").alias(f"value_{c}"), F.floor((F.col("ahead") + F.sum("n").over(inside) - F.col("n")) * F.lit(1 << bits) / F.col("total")).cast("int").alias(f"cell_{c}"))
+        df = df.join(cells, F.col(f"`{c}`").eqNullSafe(F.col(f"value_{c}")), "left").drop(f"value_{c}")
     return df
 
 
@@ -83,21 +84,24 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], n_shards: in
     Rows are ordered by curve index over `dims`, then `ties`; shard counts differ by
     one at most (some are empty where there are fewer rows than shards). Null values
     sort first in their dimension; rows equal in all of these are interchangeable.
-    Other columns pass through. Bytes, not rows, aren't balanced.
+    Other columns pass through, whatever their names; those named curve, shard or slot
+    are replaced. Bytes, not rows, aren't balanced. An empty table gives an empty result.
     """
-    d = with_cells(df, dims, bits).withColumn("curve", curve_index([F.col(f"cell_{c}") for c in dims], bits)).drop(*(f"cell_{c}" for c in dims))
+    d, at = numbered(df)
+    dims, order = [at[c.lower()] for c in dims], ["curve", *(at[c.lower()] for c in ties)]
+    d = with_cells(d, dims, bits).withColumn("curve", curve_index([F.col(f"cell_{c}") for c in dims], bits)).drop(*(f"cell_{c}" for c in dims))
     d = cut(d, "curve")
-    order = ["curve", *ties]
-    d = cut(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "curve-sorted")
-    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("n").over(Window.partitionBy()).alias("_total"))
-    rank = F.col("_ahead") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    d = d.join(parts, "_part").withColumn("_rank", rank)
-    small, more = F.expr(f"_total div {n_shards}"), F.col("_total") % n_shards
+    d = cut(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()), "curve-sorted")
+    slices = d.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    slices = slices.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("slice").orderBy(*order)) - 1
+    d = d.join(slices, "slice").withColumn("place", place)
+    small, more = F.expr(f"total div {n_shards}"), F.col("total") % n_shards
     edge = more * (small + 1)
-    d = d.withColumn("shard", F.when(F.col("_rank") < edge, F.expr(f"_rank div (_total div {n_shards} + 1)")).otherwise(more + F.expr(f"try_divide(_rank - (_total % {n_shards}) * (_total div {n_shards} + 1), _total div {n_shards})").cast("long")).cast("int"))
+    shard = F.when(F.col("place") < edge, F.expr(f"place div (total div {n_shards} + 1)")).otherwise(more + F.expr(f"try_divide(place - (total % {n_shards}) * (total div {n_shards} + 1), total div {n_shards})").cast("long"))
+    d = d.withColumn("shard", shard.cast("int"))
     start = F.when(F.col("shard") <= more, F.col("shard") * (small + 1)).otherwise(edge + (F.col("shard") - more) * small)
-    return d.withColumn("slot", F.col("_rank") - start).drop("_part", "_ahead", "_total", "_rank")
+    return d.select(*renamed(df, [F.col("curve"), F.col("shard"), F.col("place") - start], ["curve", "shard", "slot"]))
 
 
 def document_shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:

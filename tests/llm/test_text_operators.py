@@ -321,6 +321,33 @@ def test_shards_are_even_and_gapless(docs, none, n):
     assert sharding.document_shards(none, n).count() == 0
 
 
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["", None, "same text", "x" * rng.randrange(400)]), rng.choice(["en", "en", "fr", None]), rng.choice("aaab"), 0) for i in range(500)] + [(7, "same text", "en", "a", 0)] * 40
+    got = sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in sharding.document_shards(spark.createDataFrame(rows, DOCS).repartition(3), 7).collect())
+    size = lambda t: len((t or "").encode()) + 16
+    first = lambda v: (v is not None, v or "")
+    columns = [[first(r[2]) for r in rows], [first(r[3]) for r in rows], [size(r[1]) for r in rows]]
+    cells = [[sum(other < v for other in c) * 256 // len(rows) for v in c] for c in columns]
+    curve = sharding.hilbert_index(np.array(cells).T, 8).tolist()
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], zlib.crc32((rows[i][1] or "").encode()), rows[i][0]))
+    want, at = [], 0
+    for k in range(7):
+        n = len(rows) // 7 + (k < len(rows) % 7)
+        want += [(str(rows[i][0]), zlib.crc32((rows[i][1] or "").encode()), k, slot) for slot, i in enumerate(order[at : at + n])]
+        at += n
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and sorted(x[2:] for x in got) == sorted(x[2:] for x in want)
+
+
+def test_shards_of_clashing_columns(spark):
+    d = spark.createDataFrame([(i, i % 3, "v", 1, 2, 3, 4) for i in range(20)], "place int, slice int, value string, n int, Shard int, `a.b` int, c0 int")
+    got = sharding.hilbert_shards(d, ["place", "slice"], ["value", "c0"], 4)
+    assert got.columns == ["place", "slice", "value", "n", "a.b", "c0", "curve", "shard", "slot"]
+    rows = got.collect()
+    assert sorted(r.place for r in rows) == list(range(20)) and all(r.slice == r.place % 3 and r.n == 1 and r.c0 == 4 for r in rows)
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, i) for k in range(4) for i in range(5)]
+
+
 def test_shards_can_be_pruned(spark):
     rng = random.Random(8)
     rows = [(i, "x" * rng.randrange(3000), rng.choice("abcd"), rng.choice(["s%02d" % k for k in range(20)]), 0) for i in range(2000)]
