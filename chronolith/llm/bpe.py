@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 TOKENIZER = "byte_bpe_50k.json"
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -217,15 +219,17 @@ class Encoder:
         return ids
 
 
-_made: dict[tuple[type, str], Encoder | Decoder] = {}
+_made: dict[str, dict[type, Encoder | Decoder]] = {}
 
 
 def _of(kind: type, spec):
-    """The worker's encoder or decoder: compiled once a process, not once a task."""
-    if (kind, spec.id) not in _made:
+    """The worker's encoder or decoder of one tokenizer file: compiled once a process, not once a task."""
+    if spec.id not in _made:
         _made.clear()
-        _made[kind, spec.id] = kind(spec.data)
-    return _made[kind, spec.id]
+    own = _made.setdefault(spec.id, {})
+    if kind not in own:
+        own[kind] = kind(spec.data)
+    return own[kind]
 
 
 class Spec:
@@ -241,19 +245,24 @@ class Spec:
         return self.shared.value
 
 
-def _map(df: DataFrame, column: str, out: str, kind: T.DataType, f, arrow: pa.DataType) -> DataFrame:
-    """All columns of `df` and `out`, f(value) of `column`; rows are taken in pieces, so long texts don't add up."""
-    schema = T.StructType([x for x in df.schema.fields if x.name != out] + [T.StructField(out, kind)])
-    names = [x.name for x in schema.fields[:-1]]
+def _map(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.DataType]], f) -> DataFrame:
+    """All columns of `df` and the added ones, f(value) of `column`; rows are taken in pieces, so long texts don't add up."""
+    new = [name for name, _, _ in added]
+    schema = T.StructType([x for x in df.schema.fields if x.name not in new] + [T.StructField(name, kind) for name, kind, _ in added])
+    names = [x.name for x in schema.fields[: -len(added)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                got = pa.array([f(x) for x in part.column(column).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), got], [*names, out])
+                got = [f(x) for x in part.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array([g[i] for g in got], arrow) for i, (_, _, arrow) in enumerate(added))], [*names, *new])
+
+    return df.mapInArrow(tidy(run), schema)
 
-    return df.mapInArrow(run, schema)
+
+IDS = (T.ArrayType(T.IntegerType(), False), pa.list_(pa.field("element", pa.int32(), False)))
+TEXT = (T.StringType(), pa.string())
 
 
 def encode(df: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
@@ -263,10 +272,21 @@ def encode(df: DataFrame, path: str, column: str = "text", out: str = "ids") ->
     added token's string in a text becomes its id. A column named `out` is replaced.
     """
     spec = Spec(df.sparkSession, path)
-    return _map(df, column, out, T.ArrayType(T.IntegerType(), False), lambda x: _of(Encoder, spec).encode(x or ""), pa.list_(pa.field("element", pa.int32(), False)))
+    return _map(df, column, [(out, *IDS)], lambda x: (_of(Encoder, spec).encode(x or ""),))
 
 
 def decode(df: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with the text of every row's ids; null or no ids: ''. An unknown id raises."""
     spec = Spec(df.sparkSession, path)
-    return _map(df, column, out, T.StringType(), lambda x: _of(Decoder, spec).decode(x or ()), pa.string())
+    return _map(df, column, [(out, *TEXT)], lambda x: (_of(Decoder, spec).decode(x or ()),))
+
+
+def encode_and_decode(df: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`encode`, then `decode` of its ids, in one pass: a task needs one worker process, not two."""
+    spec = Spec(df.sparkSession, path)
+
+    def both(x):
+        found = _of(Encoder, spec).encode(x or "")
+        return found, _of(Decoder, spec).decode(found)
+
+    return _map(df, column, [(ids, *IDS), (decoded, *TEXT)], both)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .media import _pieces
-from .shared import hash_counts, smallest_hashes
+from .shared import hash_counts, smallest_hashes, tidy
 
 DIM = 1 << 13
 #: Bounds of the training sample: rows of each language, and rows in all.
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Coder | None, ambiguous: float = AMBIGUOUS)
             new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[1] < ambiguous for o in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

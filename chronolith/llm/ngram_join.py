@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .media import _pieces
-from .shared import cut
+from .shared import cut, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, n: int, trees: int, shortest: int, deepest: int)
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, long), pa.array(deep, long)], ["doc_id", "text_hash", "name", "n_grams", "keys", "deep"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, name binary, n_grams long, keys array<long>, deep array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(run), "doc_id long, text_hash long, name binary, n_grams long, keys array<long>, deep array<long>")
 
 
 def meeting(sorted_labels: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def meeting(sorted_labels: DataFrame) -> DataFrame:
         if held is not None:
             yield from held.to_batches()
 
-    return sorted_labels.select("tree", "key", "set").mapInArrow(run, "tree int, key long, set long")
+    return sorted_labels.select("tree", "key", "set").mapInArrow(tidy(run), "tree int, key long, set long")
 
 
 CELL = ["tree", "key", "i", "j"]
@@ -353,7 +353,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             row, level = np.nonzero(used)
             yield from t.select(["set", *CELL, "side"]).take(pa.array(row)).append_column("level", pa.array(level, pa.int32())).to_batches()
 
-    wanted = cut(in_cells(member.join(light, "set")).mapInArrow(need, "set long, tree int, key long, i int, j int, side int, level int"), "needed")
+    wanted = cut(in_cells(member.join(light, "set")).mapInArrow(tidy(need), "set long, tree int, key long, i int, j int, side int, level int"), "needed")
     ids = wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash"), "set")
 
     def grams_of(batches):
@@ -363,7 +363,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([x.tobytes() for x in g], pa.binary())], ["set", "grams"]).filter(same)
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
-    grams = texts.select("set", "name", "text").mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"])
+    grams = texts.select("set", "name", "text").mapInArrow(tidy(grams_of), "set long, grams binary").dropDuplicates(["set"])
 
     def verify(at):
         def run(batches):
@@ -401,7 +401,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     for at, depth in enumerate(levels):
         if at in used:
             heavy = wanted.where(F.col("level") == at).drop("level").join(light, "set").join(grams, "set")
-            here = cut(in_cells(heavy).mapInArrow(verify(at), "set long, links long, to long, bands array<long>"), "links")
+            here = cut(in_cells(heavy).mapInArrow(tidy(verify(at)), "set long, links long, to long, bands array<long>"), "links")
             for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
                 bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
             here = here.where("set IS NOT NULL").drop("bands")

@@ -29,12 +29,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    d = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    d = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
-    d = d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"))
-    d = bpe.decode(d, path)
-    return d.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +101,20 @@ def renamed(old: DataFrame, added: list[Column], names: list[str], changed: dict
     new = {n.lower() for n in names}
     back = [(changed or {}).get(c.lower(), F.col(f"c{i}")).alias(c) for i, c in enumerate(old.columns) if c.lower() not in new]
     return back + [a.alias(n) for a, n in zip(added, names, strict=True)]
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over a partition's batches; at the partition's end its memory goes back to the system, as workers idle beside later stages."""
+
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return task

@@ -140,6 +140,8 @@ def test_bpe_columns(docs, none, tokenizer):
     got = bpe.decode(bpe.encode(d, path), path).collect()
     for r in got:
         assert r.ids == lib.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+    both = bpe.encode_and_decode(d, path).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got)) and bpe.encode_and_decode(none, path).count() == 0
     assert bpe.encode(none, path).count() == 0
 
 
