@@ -100,9 +100,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids, n_tokens, and whether decoding gives the text back."""
-    path = tokenizer_path()
-    d = bpe.encode(docs.select("doc_id", "source", "lang", "text"), path)
-    d = bpe.decode(d, path)
+    d = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path())
     return d.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
