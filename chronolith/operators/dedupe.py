@@ -18,11 +18,19 @@ def cluster_cores(proposals: DataFrame, keys: list[str]) -> DataFrame:
     same occurrence as every member. Exactly one such cluster: it joins, as a
     suppressed duplicate; several: it is an ambiguous bridge and is suppressed
     (cluster_id null); none: it represents a new cluster. Bounds are never united.
-    A fold over the group's sorted array, in one JVM row per group.
+    Clusters are numbered from 0 in the order of their representatives.
+
+    The same occurrence means overlap, so a gap in time ends what a proposal can meet:
+    each run of overlapping cores is folded apart, as one sorted array in the JVM. The
+    windows and the fold share one exchange on the keys.
     """
     length = F.col("end") - F.col("start")
     item = F.struct(length.alias("d"), (-F.col("confidence")).alias("c"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("stable_id").alias("id"), F.col("candidate_id").alias("cand"))
-    g = proposals.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    w = Window.partitionBy(*keys).orderBy(F.least("start", "end"), "stable_id")
+    reach = F.max(F.greatest("start", "end")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.least("start", "end") > reach), 1).otherwise(0)
+    d = proposals.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    g = d.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = dict(g.dtypes)["items"]
     member = kind.removeprefix("array<").removesuffix(">").removesuffix(">") + ",cid:int>"
     empty = F.array().cast(f"array<{member}>")
@@ -37,8 +45,14 @@ def cluster_cores(proposals: DataFrame, keys: list[str]) -> DataFrame:
         cid = F.when(F.size(open_) == 1, F.element_at(open_, 1)).when(F.size(open_) > 1, F.lit(AMBIGUOUS)).otherwise(F.size(clusters))
         return F.concat(acc, F.array(F.struct(x["d"], x["c"], x["s"], x["e"], x["id"], x["cand"], cid.cast("int")).cast(member)))
 
-    done = g.select(*keys, F.posexplode(F.aggregate("items", empty, step)).alias("pos", "m"))
-    d = done.select(*keys, F.col("m.id").alias("stable_id"), F.col("m.cand").alias("candidate_id"), F.col("m.s").alias("start"), F.col("m.e").alias("end"), (-F.col("m.c")).alias("confidence"), F.nullif(F.col("m.cid"), F.lit(AMBIGUOUS)).alias("cluster_id"), "pos")
-    first = F.min("pos").over(Window.partitionBy(*keys, "cluster_id"))
-    status = F.when(F.col("cluster_id").isNull(), "ambiguous_bridge_suppressed").when(F.col("pos") == first, "representative").otherwise("duplicate_suppressed")
-    return d.withColumn("status", status).drop("pos")
+    done = g.select(*keys, "_run", F.explode(F.aggregate("items", empty, step)).alias("m"))
+    order = F.struct("m.d", "m.c", "m.s", "m.e", "m.id", "m.cand")
+    in_run = F.nullif(F.col("m.cid"), F.lit(AMBIGUOUS))
+    first = (in_run.isNotNull()) & (F.row_number().over(Window.partitionBy(*keys, "_run", "m.cid").orderBy(order)) == 1)
+    d = done.withColumn("_in_run", in_run).withColumn("_first", first)
+    number = F.sum(F.col("_first").cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    d = d.withColumn("_number", F.when(F.col("_first"), number))
+    cluster = F.when(F.col("_in_run").isNotNull(), F.max("_number").over(Window.partitionBy(*keys, "_run", "m.cid")))
+    status = F.when(F.col("_in_run").isNull(), "ambiguous_bridge_suppressed").when(F.col("_first"), "representative").otherwise("duplicate_suppressed")
+    d = d.withColumn("cluster_id", cluster.cast("int"))
+    return d.select(*keys, F.col("m.id").alias("stable_id"), F.col("m.cand").alias("candidate_id"), F.col("m.s").alias("start"), F.col("m.e").alias("end"), (-F.col("m.c")).alias("confidence"), "cluster_id", status.alias("status"))

@@ -59,6 +59,15 @@ def first_per_key(items: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def overlapping(events: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:
-    """Events that an issue of their group strictly overlaps."""
-    i = issues.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return events.join(i, [*(F.col(k) == F.col(f"_{k}") for k in keys), F.col("start") < F.col("_e"), F.col("end") > F.col("_s")], "left_semi")
+    """Events that an issue of their group strictly overlaps.
+
+    One pass over both in order of time: of the issues that start before the event ends,
+    the one that reaches farthest decides. Null bounds and null keys overlap nothing.
+    """
+    i = issues.where("start IS NOT NULL AND end IS NOT NULL").select(*keys, F.col("start").alias("_at"), F.col("end").alias("_reach"))
+    d = events.withColumn("_at", F.col("end")).unionByName(i, allowMissingColumns=True).withColumn("_event", F.col("_reach").isNull())
+    w = Window.partitionBy(*keys).orderBy("_at", F.desc("_event")).rowsBetween(Window.unboundedPreceding, 0)  # at one time, events are first
+    d = d.withColumn("_far", F.max("_reach").over(w)).where(F.col("_event") & (F.col("_far") > F.col("start")))
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
+    return d.select(*events.columns)

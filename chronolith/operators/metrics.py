@@ -24,16 +24,25 @@ def with_rates(d: DataFrame) -> DataFrame:
 
 
 def temporal(n_truth: DataFrame, n_predictions: DataFrame, matches: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """One row: event-level counts and rates, mean IoU and errors of matches, complete-coverage recall.
+    """One row: event-level counts and rates, mean IoU and errors of matches and, with `coverage`, complete coverage.
 
-    n_truth and n_predictions are event rows; `coverage` has the matches per group.
+    n_truth and n_predictions are event rows; `coverage` has the matches per group. Of
+    the matched events those count as completely covered whose own clip (p_clip_start,
+    p_clip_end of `matches`, else the prediction) contains them. All sides are
+    one table, aggregated once.
     """
-    t, p = n_truth.agg(F.count(F.lit(1)).alias("n_truth")), n_predictions.agg(F.count(F.lit(1)).alias("n_predictions"))
-    m = matches.agg(F.count(F.lit(1)).alias("tp"), F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.avg("start_error"), 4).alias("mean_start_error"), F.round(F.avg("end_error"), 4).alias("mean_end_error"))
-    d = t.join(p).join(m)  # single rows
-    d = d.withColumn("fp", F.col("n_predictions") - F.col("tp")).withColumn("fn", F.col("n_truth") - F.col("tp"))
-    d = with_rates(d)
+    one, nil = F.lit(1).cast("long"), F.lit(None)
+    means = ["iou", "start_error", "end_error"]
+    clip = [F.coalesce(F.col(f"p_clip_{x}"), F.col(f"p_{x}")) if f"p_clip_{x}" in matches.columns else F.col(f"p_{x}") for x in ("start", "end")]
+    counts = lambda df, **own: df.select(*(own.get(c, F.lit(0).cast("long")).alias(c) for c in ("n_truth", "n_predictions", "tp", "complete", "complete_matched")), *(F.col(c) if c in own else nil.cast("double").alias(c) for c in means))
+    inside = F.coalesce((clip[0] <= F.col("t_start")) & (clip[1] >= F.col("t_end")), F.lit(False)).cast("long") if coverage is not None else F.lit(0).cast("long")
+    rows = counts(n_truth, n_truth=one).unionByName(counts(n_predictions, n_predictions=one)).unionByName(counts(matches, tp=one, complete_matched=inside, **dict.fromkeys(means)))
     if coverage is not None:
-        c = coverage.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("complete"))
-        d = d.join(c).withColumn("complete_coverage_recall", ratio(F.col("complete"), F.col("n_truth")))
-    return d
+        rows = rows.unionByName(counts(coverage, complete=F.col("matches")))
+    total = {c: F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("n_truth", "n_predictions", "tp", "complete", "complete_matched")}
+    d = rows.agg(*(x.alias(c) for c, x in total.items()), F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.avg("start_error"), 4).alias("mean_start_error"), F.round(F.avg("end_error"), 4).alias("mean_end_error"))
+    d = with_rates(d.withColumn("fp", F.col("n_predictions") - F.col("tp")).withColumn("fn", F.col("n_truth") - F.col("tp")))
+    out = ["n_truth", "n_predictions", "tp", "mean_iou", "mean_start_error", "mean_end_error", "fp", "fn", "precision", "recall", "f1"]
+    if coverage is None:
+        return d.select(*out)
+    return d.select(*out, "complete", ratio(F.col("complete"), F.col("n_truth")).alias("complete_coverage_recall"), ratio(F.col("complete_matched"), F.col("tp")).alias("complete_coverage_rate_on_matched"))

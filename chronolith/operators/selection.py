@@ -24,11 +24,19 @@ def budgets(candidates: DataFrame, keys: list[str], most: int = C.MAX_CANDIDATES
 
 
 def uncovered_hints(hints: DataFrame, covered_by: DataFrame, keys: list[str], margin: float = C.COVERAGE_MARGIN) -> DataFrame:
-    """Hints (time) that lie in no interval (start, end) of their group widened by `margin`."""
-    c = covered_by.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    t = F.col("time")
-    return hints.join(c, [*same, t >= F.col("_s") - margin, t <= F.col("_e") + margin], "left_anti")
+    """Hints (time) that lie in no interval (start, end) of their group widened by `margin`.
+
+    One pass over both in order of time: a hint is covered if the intervals that have
+    begun reach that far. Null times and null keys are covered by nothing.
+    """
+    c = covered_by.where("start IS NOT NULL AND end IS NOT NULL").select(*keys, (F.col("start") - margin).alias("_at"), (F.col("end") + margin).alias("_reach"))
+    d = hints.withColumn("_at", F.col("time")).unionByName(c, allowMissingColumns=True).withColumn("_hint", F.col("_reach").isNull())
+    w = Window.partitionBy(*keys).orderBy("_at", "_hint").rowsBetween(Window.unboundedPreceding, 0)  # at one time, intervals are first
+    d = d.withColumn("_far", F.max("_reach").over(w))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return d.where(F.col("_hint") & ~F.coalesce(known & (F.col("_far") >= F.col("time")), F.lit(False))).select(*hints.columns)
 
 
 def scene_intervals(hints: DataFrame, duration: Column, padding: float = C.VISUAL_PADDING, min_score: float = C.SCENE_MIN_SCORE) -> DataFrame:

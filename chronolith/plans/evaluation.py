@@ -17,14 +17,17 @@ def event_rows(results: DataFrame, column: str) -> DataFrame:
 def score(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classification, temporal and strict temporal metrics of results (id, status, expected, predicted, events, predictions).
 
-    Complete coverage is judged on the clips where there are any.
+    Complete coverage is judged on the clips where there are any: as the largest matching
+    of events and clips, and as the share of matched events that lie in their own clip.
     """
     ok = results.where("status = 'ok'")
     truth, found = event_rows(ok, "events"), event_rows(ok, "predictions")
     clips = found.select("id", "pos", F.coalesce("clip_start", "start").alias("start"), F.coalesce("clip_end", "end").alias("end"))
     covered = matching.matching_size(matching.coverage_edges(truth, clips, ["id"]), ["id"])
     by = lambda least: matching.match(matching.iou_edges(truth, found, ["id"], least), ["id"])
-    return metrics.confusion(results), metrics.temporal(truth, found, by(C.MATCH_IOU), covered), metrics.temporal(truth, found, by(C.STRICT_MATCH_IOU))
+    own = found.select("id", F.col("pos").alias("p_pos"), F.col("clip_start").alias("p_clip_start"), F.col("clip_end").alias("p_clip_end"))
+    matched = by(C.MATCH_IOU).join(own, ["id", "p_pos"])
+    return metrics.confusion(results), metrics.temporal(truth, found, matched, covered), metrics.temporal(truth, found, by(C.STRICT_MATCH_IOU))
 
 
 def results_of(reports: DataFrame, samples: DataFrame) -> DataFrame:
