@@ -33,16 +33,36 @@ def as_bool(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x)).isin(*TRUE_WORDS), F.lit(False))
 
 
+def variant_bool(v: Column) -> Column:
+    """Truth of a VARIANT of any type: a boolean's value, a word for true, a number other than 0, an array or object that isn't empty; null is false."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    number_ = F.coalesce(F.try_variant_get(v, "$", "double") != 0, F.lit(False))
+    full = ~F.to_json(v).isin("[]", "{}")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(False)).when(kind == "BOOLEAN", F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)))
+        .when(kind == "STRING", as_bool(text)).when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), full).otherwise(number_)
+    )
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d with 4 digits; null where d is 0."""
     return F.round(F.try_divide(n.cast("double"), d.cast("double")), 4)
 
 
+def http_date(x: Column) -> Column:
+    """The instant of an HTTP date, whatever the session's zone: GMT or an offset, UTC without either; null if it is none."""
+    day = F.regexp_extract(x, r"(\d{1,2}[ -][A-Za-z]{3}[ -]\d{4} \d{2}:\d{2}:\d{2})\s*(GMT|UTC|Z|[+-]\d{4})?\s*$", 1)
+    offset = F.regexp_extract(x, r"([+-]\d{4})\s*$", 1)
+    text = F.concat_ws(" ", F.translate(day, "-", " "), F.coalesce(F.nullif(offset, F.lit("")), F.lit("+0000")))
+    return F.when(day != "", F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")))
+
+
 def retry_after_seconds(header: Column, now: Column) -> Column:
-    """Seconds that a Retry-After header asks for (a number or an HTTP date), 0 at least; null if it says neither."""
-    date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(header, r"^\s*\w{3},\s*", ""), r"\s*GMT\s*$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    left = (F.unix_micros(date) - F.unix_micros(now)).cast("double") / 1e6
-    return F.greatest(F.lit(0.0), F.coalesce(number(header), left)) + F.when(F.coalesce(number(header), left).isNull(), F.lit(None).cast("double")).otherwise(0.0)
+    """Seconds that a Retry-After header asks for (a number or an HTTP date), 0 at least; null if it says neither. `now` is an instant."""
+    left = (F.unix_micros(http_date(header)) - F.unix_micros(now)).cast("double") / 1e6
+    asked = F.coalesce(number(header), left)
+    return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), asked))
 
 
 def retryable_model(status: Column) -> Column:

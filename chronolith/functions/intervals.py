@@ -39,3 +39,9 @@ def valid_interval(s: Column, e: Column) -> Column:
     """Both present and finite, not negative, end after start."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return F.coalesce(finite(s) & finite(e) & (s >= 0) & (e > s), F.lit(False))
+
+
+def required_interval(s: Column, e: Column, name: str) -> Column:
+    """(start, end), or an error when it is read that names the interval that isn't valid."""
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is no valid interval: "), F.coalesce(s.cast("string"), F.lit("null")), F.lit(", "), F.coalesce(e.cast("string"), F.lit("null"))))
+    return F.when(valid_interval(s, e), F.struct(s.alias("start"), e.alias("end"))).otherwise(wrong.cast("struct<start:double,end:double>"))

@@ -27,16 +27,23 @@ def island_ids(frames: DataFrame, keys: list[str], gap: float, order: str = "fra
 def merge_islands(frames: DataFrame, keys: list[str], gap: float = C.AUDIO_MERGE_GAP, padding: float = C.AUDIO_PADDING, duration: Column | float | None = None, order: str = "frame_idx") -> DataFrame:
     """keys, island, start, end, score, top_label, frame_count, time: one candidate per island, padded within [0, duration].
 
-    The top label is that of the last frame with the best score.
+    The top label is that of the last frame with the best score. Where frames have
+    label_scores (a map), so has the candidate: each label's maximum over its frames.
     """
-    g = island_ids(frames, keys, gap, order).groupBy(*keys, "island").agg(
+    marked = island_ids(frames, keys, gap, order)
+    g = marked.groupBy(*keys, "island").agg(
         F.min("start").alias("_s"), F.max("end").alias("_e"), F.max("score").alias("_score"),
         F.max_by("top_label", F.struct("score", order)).alias("top_label"), F.count(F.lit(1)).alias("frame_count"),
     )
+    more = []
+    if "label_scores" in frames.columns:
+        own = [*keys, "island"]
+        labels = label_maxima(marked.select(*own, F.explode("label_scores").alias("label", "score")), own)
+        g, more = g.join(labels, own, "left"), [F.coalesce("label_scores", F.create_map().cast("map<string,double>")).alias("label_scores")]
     end = F.col("_e") + padding
     end = end if duration is None else F.least(end, duration if isinstance(duration, Column) else F.lit(float(duration)))
     g = g.withColumn("start", fixed(F.greatest(F.lit(0.0), F.col("_s") - padding))).withColumn("end", fixed(end))
-    return g.select(*keys, "island", "start", "end", fixed(F.col("_score"), 4).alias("score"), "top_label", "frame_count", clock(F.col("start")).alias("time"))
+    return g.select(*keys, "island", "start", "end", fixed(F.col("_score"), 4).alias("score"), "top_label", "frame_count", clock(F.col("start")).alias("time"), *more)
 
 
 def label_maxima(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import as_bool, as_confidence, clean_html, clock_seconds, fixed, json_object, json_object_or_summary, license_matches, message_text, ratio, retry_after_seconds, retryable_download, retryable_model, safe_name
+from ..functions import as_bool, as_confidence, clean_html, clock_seconds, fixed, json_object, json_object_or_summary, json_sha256, license_matches, message_text, ratio, retry_after_seconds, retryable_download, retryable_model, safe_name, variant_bool
 from ..functions.prompts import candidate_note
 from ..operators import confirmation, lookups, matching, metrics, reviews, runs, visual
-from ..sources import readers
+from ..sources import readers, sinks
 from .stand_ins import CONF, FRAMES, IOU, PROPOSALS, SIDES, R, frames, proposals, query, table, truth_and_predictions
 
 
@@ -35,7 +35,14 @@ def p_safe_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", safe_name(F.concat("p_name", F.lit("--"), "p_type", F.lit(" "))).alias("name"))
 
 
-@query("""SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages""")
+#: Entities that the pages hold, with and without a semicolon; the ampersand is set aside until the others are done.
+ENTITIES = (("&amp;", "\x01"), ("&amp", "\x01"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("\x01", "&"))
+UNESCAPED = "regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')"
+for _a, _b in ENTITIES:
+    UNESCAPED = f"replace({UNESCAPED}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT page_id, trim({UNESCAPED}, chr(160) || chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages")
 def p_clean_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", clean_html(F.col("html")).alias("text"))
 
@@ -79,7 +86,7 @@ def p_license_match(spark, sf):
 
 @query(f"""{K} SELECT event_id, CASE event_id % 3 WHEN 0 THEN k::DOUBLE WHEN 1 THEN (event_id % 40)::DOUBLE END AS seconds FROM e""")
 def p_retry_after(spark, sf):
-    now = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    now = F.lit("2024-03-01T12:00:00Z").cast("timestamp")
     date = F.concat(F.lit("Fri, 01 Mar 2024 12:00:"), F.lpad((F.col("event_id") % 40).cast("string"), 2, "0"), F.lit(" GMT"))
     header = F.when(F.col("event_id") % 3 == 0, F.col("k")).when(F.col("event_id") % 3 == 1, date).otherwise("soon")
     return _k(spark, sf).select("event_id", retry_after_seconds(header, now).alias("seconds"))
@@ -224,6 +231,23 @@ def a_temporal_metrics(spark, sf):
     return metrics.temporal(t, p, matching.match(matching.iou_edges(t, p, ["vid", "grp"]), ["vid", "grp"])).drop("mean_iou", "mean_start_error", "mean_end_error")
 
 
+@query(_matchings(RECURSIVE + ", x AS (SELECT *, round(iou * 1000000000.0::DOUBLE)::BIGINT AS weight FROM e WHERE iou >= 0.5::DOUBLE)").replace("SELECT b.vid, b.grp, b.matches::BIGINT", ", z AS (SELECT b.vid, b.grp, b.matches::BIGINT", 1) + """),
+cv AS (SELECT count(*) AS n_truth FROM t), cp AS (SELECT count(*) AS n_predictions FROM c), cm AS (SELECT coalesce(sum(matches), 0)::BIGINT AS tp FROM z)
+SELECT tp, (n_predictions - tp)::BIGINT AS fp, (n_truth - tp)::BIGINT AS fn, round(tp::DOUBLE / n_predictions::DOUBLE, 4) AS precision, round(tp::DOUBLE / n_truth::DOUBLE, 4) AS recall, round((2 * tp)::DOUBLE / (n_truth + n_predictions)::DOUBLE, 4) AS f1 FROM cv, cp, cm""")
+def a_temporal_strict(spark, sf):
+    t, p = truth_and_predictions(spark, sf)
+    return metrics.temporal(t, p, matching.match(matching.iou_edges(t, p, ["vid", "grp"], 0.5), ["vid", "grp"])).select("tp", "fp", "fn", "precision", "recall", "f1")
+
+
+@query()
+def a_coverage_rates(spark, sf):
+    """Complete coverage of all and of matched events, with predictions widened as clips; no SQL, as in a_mean_errors_all."""
+    t, p = truth_and_predictions(spark, sf)
+    m = matching.match(matching.iou_edges(t, p, ["vid", "grp"]), ["vid", "grp"])
+    m = m.withColumns({"p_clip_start": F.col("p_start") - 0.5, "p_clip_end": F.col("p_end") + 0.5})
+    return metrics.temporal(t, p, m, matching.matching_size(_coverage(spark, sf), ["vid", "grp"])).select("tp", "complete", "complete_coverage_recall", "complete_coverage_rate_on_matched")
+
+
 @query(EDGES + """, o AS (SELECT * FROM e WHERE iou >= 0.1::DOUBLE), u AS (SELECT *, count(*) OVER (PARTITION BY vid, grp) AS k FROM o)
 SELECT count(*)::BIGINT AS n, round(avg(iou), 4) AS mean_iou, round(avg(abs(p_start - t_start)), 4) AS mean_start_error, round(avg(abs(p_end - t_end)), 4) AS mean_end_error FROM u WHERE k = 1""")
 def a_mean_errors(spark, sf):
@@ -276,6 +300,51 @@ def k_resume_anti(spark, sf):
     return lookups.remaining(table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
+@query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","deep":{"a":[1,2.5,null],"b":"' || replace(p_name, '"', '\\"') || '"},"size":' || p_size || ',"x":true}') AS digest FROM part""")
+def p_json_sha256(spark, sf):
+    """Documents whose keys come in another order and with blanks."""
+    body = F.format_string('{ "size" : %d, "x":true, "deep": {"b": "%s" , "a": [1, 2.5, null]}, "brand":"%s"}', "p_size", F.replace("p_name", F.lit('"'), F.lit('\\"')), "p_brand")
+    return table(spark, sf, "part").select("p_partkey", json_sha256(body).alias("digest"))
+
+
+@query("""SELECT event_id, (event_id % 8) IN (0, 2, 3, 6) AS flag FROM events""")
+def p_variant_bool(spark, sf):
+    raw = F.array(*map(F.lit, ("true", "false", '" Yes "', "2.5", "0", "null", "[0]", "{}")))
+    d = table(spark, sf, "events").select("event_id", F.try_parse_json(F.get(raw, (F.col("event_id") % 8).cast("int"))).alias("v"))
+    return d.select("event_id", variant_bool(F.col("v")).alias("flag"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 <> 0), o AS (SELECT c_custkey AS id, c_nationkey AS a FROM customer WHERE c_custkey % 7 <> 0),
+w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS a FROM customer WHERE c_custkey % 3 <> 0)
+SELECT id AS key, 'repeated result' AS problem FROM p WHERE n > 1 UNION ALL SELECT id, 'not in the manifest' FROM p WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT id, 'no media fingerprint' FROM p WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT o.id, 'its media changed' FROM o JOIN w ON o.id = w.id WHERE o.a <> w.a""")
+def k_resume_problems(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
+    media = lambda d, digest: d.select("id", F.lit("m").alias("path"), digest.alias("sha256"))
+    old = media(c.where("id % 7 <> 0"), F.col("c_nationkey"))
+    new = media(c.where("id % 3 <> 0"), F.when(F.col("id") % 11 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    return runs.resume_problems(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), c.where("id % 10 <> 0"), old, new)
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderpriority = '1-URGENT') AS bad FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN n_lines IS NULL AND c_nationkey % 2 = 0 THEN 'visual_scan_failed' WHEN n_lines IS NULL THEN 'no_candidate' WHEN coalesce(bad, 0) > 0 THEN 'completed_with_errors' WHEN coalesce(done, 0) > 0 THEN 'completed' ELSE 'no_confirmed_event' END AS status,
+  coalesce(done, 0)::BIGINT AS outputs, coalesce(n_lines, 0)::BIGINT AS n_candidates
+FROM customer LEFT JOIN (SELECT o_custkey, done, bad FROM c) ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_lines FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) ON k = c_custkey""")
+def r_run_reports(spark, sf):
+    """One nested document for each customer as a media item: orders are its candidates, decisions and clips."""
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    time = F.col("o_totalprice")
+    media = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("source"), F.when(F.col("c_nationkey") % 2 == 0, "scan").alias("scan_error"))
+    candidates = o.where("o_orderkey % 3 <> 0").select("c_custkey", time.alias("start"), (time + 1).alias("end"))
+    decisions = o.select("c_custkey", F.col("o_orderkey").alias("decision_order"), F.lit("representative").alias("status"))
+    part = lambda cond, status: o.where(cond).select("c_custkey", time.alias("start"), (time + 1).alias("end"), F.lit(status).alias("status"))
+    clips = part("o_orderstatus = 'F'", "completed").unionByName(part("o_orderpriority = '1-URGENT'", "error"))
+    d = sinks.run_reports(media, candidates, decisions, clips, ["c_custkey"])
+    at = lambda path, kind: F.get_json_object("report", path).cast(kind)
+    n = F.coalesce(F.size(F.from_json(F.get_json_object("report", "$.candidates"), "array<struct<start:double>>")), F.lit(0))
+    return d.select("c_custkey", at("$.status", "string").alias("status"), at("$.outputs", "long").alias("outputs"), n.cast("long").alias("n_candidates"))
+
+
 @query("""WITH o AS (SELECT s_suppkey AS key, s_nationkey AS value FROM supplier WHERE s_suppkey % 5 <> 0), n AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS value FROM supplier WHERE s_suppkey % 7 <> 0)
 SELECT coalesce(o.key, n.key) AS key, o.value AS old, n.value AS new FROM o FULL JOIN n ON o.key = n.key WHERE o.value IS DISTINCT FROM n.value""")
 def u_changed_keys(spark, sf):
@@ -311,10 +380,10 @@ def j_issue_overlap(spark, sf):
     return lookups.overlapping(d.where("label = 'view'"), d.where("label = 'error'"), ["vid"]).select("vid", "fid")
 
 
-@query("""WITH x AS (SELECT source, doc_id::VARCHAR AS name, strlen(text) AS size, sha256(text) AS sha FROM documents)
-SELECT source AS folder, count(*)::BIGINT AS n_files, sha256(string_agg(length(name) || ':' || name || ':' || size || ':' || sha, chr(10) ORDER BY name)) AS sha256 FROM x GROUP BY source""")
+@query("""WITH x AS (SELECT source, doc_id::VARCHAR AS name, sha256(text) AS sha FROM documents)
+SELECT source AS folder, count(*)::BIGINT AS n_files, sha256(unhex(string_agg(printf('%016X', strlen(name)) || hex(encode(name)) || upper(sha), '' ORDER BY name))) AS sha256 FROM x GROUP BY source""")
 def a_fingerprint(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha256"))
     return readers.folder_fingerprints(d, F.col("source"))
 
 
@@ -414,10 +483,10 @@ def k_updated_results(spark, sf):
 
 
 @query(f"""WITH {FRAMES}, q AS (SELECT vid, fid, label, score, CASE fid % 4 WHEN 0 THEN 'audio_visual' WHEN 1 THEN 'visual_fallback' WHEN 2 THEN 'visual_change' ELSE 'audio' END AS origin, CASE WHEN fid % 8 = 0 THEN score END AS a FROM f)
-SELECT vid, fid, CASE origin WHEN 'audio_visual' THEN 'Sound (score ' || printf('%.3f', {R('coalesce(a, score)')}) || ') and picture (score ' || printf('%.3f', {R('score')}) || ') both point to this clip. The visual scan noted: ' || label
-  WHEN 'visual_fallback' THEN 'A visual scan proposed this clip with confidence ' || printf('%.3f', {R('score')}) || '. It noted: ' || label
-  WHEN 'visual_change' THEN 'The picture changes strongly about unknown seconds into the clip (strength ' || printf('%.3f', {R('score')}) || '). This may be a cut or a camera movement; only what happens from there on counts.'
-  ELSE 'A sound detector proposed this clip with score ' || printf('%.3f', {R('score')}) || '; it may be wrong.' END AS note FROM q""")
+SELECT vid, fid, CASE origin WHEN 'audio_visual' THEN 'Found by: sound, ' || printf('%.3f', {R('coalesce(a, score)')}) || ', and single frames, ' || printf('%.3f', {R('score')}) || '. Noted there: ' || label
+  WHEN 'visual_fallback' THEN 'Found by: single frames, ' || printf('%.3f', {R('score')}) || '. Noted there: ' || label
+  WHEN 'visual_change' THEN 'Found by: a jump between two frames, ' || printf('%.3f', {R('score')}) || ', at unknown s. Decide what made it jump; edits and camera moves don''t count.'
+  ELSE 'Found by: sound, ' || printf('%.3f', {R('score')}) || '. Other things sound alike.' END AS note FROM q""")
 def p_candidate_note(spark, sf):
     i, none = F.col("fid") % 4, F.lit(None).cast("double")
     origin = F.when(i == 0, "audio_visual").when(i == 1, "visual_fallback").when(i == 2, "visual_change").otherwise("audio")

@@ -40,8 +40,11 @@ def results_of(reports: DataFrame, samples: DataFrame) -> DataFrame:
     return d.select("id", F.when(F.col("predictions").isNull(), "error").otherwise("ok").alias("status"), "expected", (F.coalesce(F.size("predictions"), F.lit(0)) > 0).alias("predicted"), "events", "predictions")
 
 
-def resume(samples: DataFrame, previous: DataFrame, old_settings: DataFrame, new_settings: DataFrame) -> DataFrame:
-    """Samples still to be run; settings that differ from the earlier run's raise when it is read."""
-    problem = runs.resumable(old_settings, new_settings).agg(F.min(F.concat_ws(": ", "key", "problem")).alias("_problem"))
+def resume(samples: DataFrame, previous: DataFrame, old_settings: DataFrame, new_settings: DataFrame, old_media: DataFrame | None = None, new_media: DataFrame | None = None) -> DataFrame:
+    """Samples still to be run. What forbids going on raises when it is read: other settings and, with media fingerprints, unfit earlier results or changed media."""
+    found = runs.resumable(old_settings, new_settings)
+    if old_media is not None and new_media is not None:
+        found = found.unionByName(runs.resume_problems(previous, samples, old_media, new_media))
+    problem = found.agg(F.min(F.concat_ws(": ", "key", "problem")).alias("_problem"))
     left = lookups.remaining(samples, previous, ["id"]).join(F.broadcast(problem))  # one row
     return left.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_problem")).cast("boolean"))).drop("_problem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -35,7 +35,8 @@ def events(answers: DataFrame, keys: list[str], duration: Column, min_confidence
     """Clips and decisions from answered candidates (keys, candidate_id, cand_start, cand_end, answer VARIANT).
 
     Clips: one per cluster, numbered in time order, padded within its neighbours.
-    Decisions: what became of every proposal, rejected ones included.
+    Decisions: what became of every proposal, rejected ones included, in decision_order:
+    accepted ones by length, confidence, start, end and id, then the others by candidate.
     """
     own = [*keys, "candidate_id"]
     asked = answers.withColumn("clip_duration", F.greatest(F.lit(0.0), F.col("cand_end") - F.col("cand_start")))
@@ -46,6 +47,9 @@ def events(answers: DataFrame, keys: list[str], duration: Column, min_confidence
     ok = ok.withColumn("stable_id", confirmation.stable_id(F.col("candidate_id"), F.col("occurrence_index"), F.col("start"), F.col("end")))
     clustered = dedupe.cluster_cores(ok, keys)
     clips = padding.pad_cores(clustered.where("status = 'representative'"), keys, duration, pad)
-    rejected = judged.where("status <> 'accepted'").select(*keys, "candidate_id", F.lit(None).cast("string").alias("stable_id"), "confidence", "status")
-    decisions = clustered.select(*keys, "candidate_id", "stable_id", "confidence", "status").unionByName(rejected)
-    return clips, decisions
+    late = F.struct(F.lit(None).cast("double").alias("d"), (-F.col("confidence")).alias("c"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("e"), F.lit(None).cast("string").alias("id"))
+    rank = F.struct((F.col("end") - F.col("start")).alias("d"), (-F.col("confidence")).alias("c"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("stable_id").alias("id"))
+    rejected = judged.where("status <> 'accepted'").select(*keys, "candidate_id", F.lit(None).cast("string").alias("stable_id"), "confidence", "status", F.lit(None).cast("int").alias("cluster_id"), F.lit(1).alias("_late"), late.alias("_rank"))
+    decisions = clustered.select(*keys, "candidate_id", "stable_id", "confidence", "status", "cluster_id", F.lit(0).alias("_late"), rank.alias("_rank")).unionByName(rejected)
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("_late", "_rank", "candidate_id"))
+    return clips, decisions.withColumn("decision_order", order).drop("_late", "_rank")

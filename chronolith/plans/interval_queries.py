@@ -39,6 +39,17 @@ def a_island_agg(spark, sf):
     return islands.merge_islands(d, ["vid"], 0.24, 0.5, DURATION, "fid")
 
 
+@query(f"""WITH {FRAMES}, o AS (SELECT *, lag(en) OVER w AS pe FROM f WHERE score >= 0.05::DOUBLE WINDOW w AS (PARTITION BY vid ORDER BY st, fid)),
+g AS (SELECT *, (sum(CASE WHEN pe IS NULL OR st > pe + 0.24::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY vid ORDER BY st, fid ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM o),
+m AS (SELECT vid, island, label, {R('max(score)', 4)} AS score FROM g GROUP BY vid, island, label)
+SELECT vid, island, string_agg(label || '=' || printf('%.4f', score), ';' ORDER BY label) AS label_scores FROM m GROUP BY vid, island""")
+def a_island_labels(spark, sf):
+    """Frames of one length begin and end in the same order, so the end before is the farthest one so far."""
+    d = islands.over_threshold(frames(spark, sf), 0.05).withColumn("label_scores", F.create_map("label", "score")).withColumnRenamed("label", "top_label")
+    m = F.transform(F.array_sort(F.map_entries("label_scores")), lambda e: F.format_string("%s=%.4f", e["key"], e["value"]))
+    return islands.merge_islands(d, ["vid"], 0.24, 0.5, DURATION, "fid").select("vid", "island", F.array_join(m, ";").alias("label_scores"))
+
+
 @query("""WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 b AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM b GROUP BY user_id, s""")

@@ -29,15 +29,23 @@ class Adapter(Protocol):
         """A JSON-like answer for one row."""
 
 
-def with_retries(call: Callable[[dict], dict], row: dict, attempts: int = 2, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[dict, int]:
-    """The answer and the number of attempts; only retryable errors are tried again, after doubling delays with jitter."""
+def with_retries(call: Callable[[dict], dict], row: dict, attempts: int = 2, base: float = 1.0, sleep: Callable[[float], None] = time.sleep, within: tuple[float, float] | None = None) -> tuple[dict, int]:
+    """The answer and the number of attempts; only retryable errors are tried again, after doubling delays with jitter.
+
+    The other side's wish makes a delay longer; where delays must lie `within` bounds, it takes the place of ours.
+    """
     for attempt in range(1, attempts + 1):
         try:
             return call(row), attempt
         except RetryableError as e:
             if attempt == attempts:
                 raise
-            sleep(max(e.after or 0.0, base * 2 ** (attempt - 1)) + random.uniform(0, 0.25))
+            own = base * 2 ** (attempt - 1)
+            if within:
+                delay = min(within[1], max(within[0], own if e.after is None else e.after))
+            else:
+                delay = max(e.after or 0.0, own)
+            sleep(delay + random.uniform(0, 0.25))
     raise ValueError("attempts must be 1 or more")
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import clean_html, fixed
+from ..functions import clean_html, clock_seconds, fixed
 
 PROBE = "struct<format:struct<duration:string,size:string>,streams:array<struct<codec_type:string,codec_name:string>>>"
 MANIFEST = "version int, name string, root string, default_event string, samples array<struct<id:string,path:string,event:string,expected:boolean,split:string,kind:string,notes:string,events:array<struct<start:double,end:double>>>>"
-LABELS = "events array<struct<name:string,aliases:array<string>,detector_labels:array<string>>>"
-CATALOG = "version int, items array<struct<id:string,file_title:string,filename:string,license_expected:string,derivative_url:string,local_path:string,expected:boolean,clip_start:double,clip_end:double>>"
+#: Field names of documents are fixed values. A label configuration names the detector's classes in yamnet_labels; detector_labels is taken too.
+LABELS = "events array<struct<name:string,aliases:array<string>,yamnet_labels:array<string>,detector_labels:array<string>>>"
+CATALOG = "version int, items array<struct<id:string,file_title:string,filename:string,license_expected:string,license_review_note:string,source_group:string,derivative_url:string,derivative_size:bigint,local_path:string,local_existing:boolean,expected:boolean,clip_start:double,clip_end:double>>"
+BASELINE = "run_date string, model string, source string, question string, result struct<summary:string,events:array<struct<time:string,visual:string,audio:string,relation:string>>>, verification struct<json_valid:boolean,audio_mean_db_by_second:array<double>,assessment:string,issues:array<struct<time:string,label:string,detail:string>>>"
 
 
 def probes(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -31,13 +33,18 @@ def class_map(spark: SparkSession, path: str) -> DataFrame:
 def event_config(spark: SparkSession, path: str) -> DataFrame:
     """config_pos, name, aliases, detector_labels of a label configuration in JSON."""
     d = spark.read.schema(LABELS).json(path, multiLine=True)
-    return d.select(F.posexplode("events").alias("config_pos", "e")).select("config_pos", "e.*")
+    d = d.select(F.posexplode("events").alias("config_pos", "e"))
+    return d.select("config_pos", "e.name", "e.aliases", F.coalesce("e.yamnet_labels", "e.detector_labels").alias("detector_labels"))
+
+
+def _of_version(d: DataFrame, kind: str) -> DataFrame:
+    """`d`, or an error when it's read if its version isn't 1."""
+    return d.where(F.when(F.col("version") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{kind} version 1 is needed")).cast("boolean")))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """pos, id, path, event, expected, split, kind, notes, events of a manifest's samples; an unknown version raises."""
-    d = spark.read.schema(MANIFEST).json(path, multiLine=True)
-    d = d.where(F.when(F.col("version") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("manifest version 1 is needed")).cast("boolean")))
+    d = _of_version(spark.read.schema(MANIFEST).json(path, multiLine=True), "manifest")
     d = d.select("root", "default_event", F.posexplode("samples").alias("pos", "s"))
     where = F.when(F.col("s.path").startswith("/") | F.col("root").isNull(), F.col("s.path")).otherwise(F.concat_ws("/", F.rtrim(F.col("root"), F.lit("/")), "s.path"))
     return d.select("pos", "s.id", where.alias("path"), F.coalesce("s.event", "default_event").alias("event"), "s.expected", "s.split", "s.kind", "s.notes", F.coalesce("s.events", F.array().cast("array<struct<start:double,end:double>>")).alias("events"))
@@ -77,14 +84,16 @@ def selected(samples: DataFrame, split: str | None = None, ids: list[str] | None
 def scene_hints(logs: DataFrame, keys: list[str], text: str = "value", most: int = C.SCENE_MAX_HINTS) -> DataFrame:
     """keys, time, score of scene changes in filter logs (a whole log a row): the `most` strongest, to be read in time order.
 
-    A score belongs to the last time before it; scores without one and values that are no numbers are left out.
+    A score belongs to the last time before it, a time to the first score after it; scores
+    without one and values that are no numbers are left out, and a time that is no number
+    takes the place of the one before.
     """
     lines = logs.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     number = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
     part = lambda pattern: F.nullif(F.regexp_extract("line", pattern + number, 1), F.lit("")).try_cast("double")
-    d = lines.withColumn("t", part(r"pts_time:\s*")).withColumn("s", part(r"lavfi\.scene_score=\s*"))
+    d = lines.withColumn("t", F.when(F.contains("line", F.lit("pts_time:")), F.struct(part(r"pts_time:\s*").alias("at")))).withColumn("s", part(r"lavfi\.scene_score=\s*"))
     w = Window.partitionBy(*keys).orderBy("pos")
-    d = d.withColumn("time", F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("t").over(w))
+    d = d.withColumn("time", F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["at"]).withColumn("_n", F.count("t").over(w))
     first = Window.partitionBy(*keys, "_n").orderBy("pos")
     d = d.where("s IS NOT NULL AND time IS NOT NULL").withColumn("_k", F.row_number().over(first)).where("_k = 1")
     d = d.select(*keys, fixed(F.col("time")).alias("time"), fixed(F.col("s"), 4).alias("score"))
@@ -105,17 +114,41 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_fingerprints(files: DataFrame, folder: Column) -> DataFrame:
-    """folder, n_files, sha256: one digest over the sorted (name, size, digest) of a folder's files."""
-    item = F.struct(F.col("name"), F.concat_ws(":", F.length("name").cast("string"), "name", F.col("size").cast("string"), "sha256").alias("t"))
+    """folder, n_files, sha256: one digest over a folder's files (name: the path in the folder, sha256), by name.
+
+    Digested are, of each file, the length of the name in eight bytes, the name and the
+    file's digest. One digest needs its input in one place: a folder's names and digests
+    are one row, the files' contents aren't.
+    """
+    name = F.encode("name", "utf-8")
+    item = F.struct("name", F.concat(F.lpad(F.hex(F.octet_length(name)), 16, "0"), F.hex(name), F.upper("sha256")).alias("t"))
     g = files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.sort_array(F.collect_list(item)).alias("_items"))
-    return g.select("folder", "n_files", F.sha2(F.array_join(F.transform("_items", lambda i: i["t"]), "\n"), 256).alias("sha256"))
+    return g.select("folder", "n_files", F.sha2(F.unhex(F.array_join(F.transform("_items", lambda i: i["t"]), "")), 256).alias("sha256"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(CATALOG).json(path, multiLine=True)
+    """pos and the fields of a source catalog's items; an unknown version raises."""
+    d = _of_version(spark.read.schema(CATALOG).json(path, multiLine=True), "catalog")
     return d.select(F.posexplode("items").alias("pos", "i")).select("pos", "i.*")
 
 
+def demo_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A demo run's document as one row: what was asked and answered, and how the answer was verified."""
+    return spark.read.schema(BASELINE).json(path, multiLine=True)
+
+
+def demo_events(baseline: DataFrame) -> DataFrame:
+    """source, pos, time, start, end (seconds of the clock times), visual, audio, relation of a demo run's events."""
+    d = baseline.select("source", F.posexplode("result.events").alias("pos", "e")).select("source", "pos", "e.*")
+    ends = F.split("time", "-")
+    return d.select("source", "pos", "time", clock_seconds(F.get(ends, 0)).alias("start"), clock_seconds(F.get(ends, 1)).alias("end"), "visual", "audio", "relation")
+
+
+def demo_levels(baseline: DataFrame) -> DataFrame:
+    """source, second, mean_db of a demo run's verification."""
+    return baseline.select("source", F.posexplode("verification.audio_mean_db_by_second").alias("second", "mean_db"))
+
+
 FIELD = "struct<value:string>"
 FILE_INFO = f"title string, imageinfo array<struct<descriptionurl:string,url:string,size:bigint,width:int,height:int,mime:string,sha1:string,extmetadata:struct<LicenseShortName:{FIELD},LicenseUrl:{FIELD},Artist:{FIELD},Credit:{FIELD},DateTimeOriginal:{FIELD}>>>"
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.functions import as_bool, as_confidence, clean_html, clock, iou, json_object, json_object_or_summary, overlap_fraction, padded_bounds, ratio, retry_after_seconds, safe_name, same_core, source_core, tolerant_bounds
+from chronolith.functions import as_bool, as_confidence, canonical_json, clean_html, clock, iou, json_object, json_object_or_summary, overlap_fraction, padded_bounds, ratio, required_interval, required_text, retry_after_seconds, safe_name, same_core, source_core, tolerant_bounds
 
 
 def values(spark, rows, schema, *columns):
@@ -70,3 +70,26 @@ def test_ratio_and_retry_after(spark):
     now = F.lit("2024-03-01 12:00:00").cast("timestamp")
     rows = [("2.5",), ("-4",), ("Fri, 01 Mar 2024 12:00:30 GMT",), ("Fri, 01 Mar 2024 11:00:00 GMT",), ("soon",), (None,)]
     assert [g[0] for g in values(spark, rows, "x string", retry_after_seconds(F.col("x"), now))] == [2.5, 0.0, 30.0, 0.0, None, None]
+
+
+def test_entities_and_dates(spark):
+    cases = [("caf&eacute; &#233;&#xe9; &amp;lt; &nbsp;", "café éé &lt;"), ("<i>a</i>&hellip;", "a…")]
+    assert values(spark, [(a,) for a, _ in cases], "x string", clean_html(F.col("x"))) == [(b,) for _, b in cases]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        now = F.lit("2024-03-01T12:00:00Z").cast("timestamp")
+        dates = [("Fri, 01 Mar 2024 12:00:30 GMT", 30.0), ("Fri, 1 Mar 2024 14:00:30 +0200", 30.0), ("01 Mar 2024 12:00:05", 5.0), ("Fri, 01-Mar-2024 11:00:00 GMT", 0.0), ("7", 7.0), ("soon", None), (None, None)]
+        assert values(spark, [(a,) for a, _ in dates], "x string", retry_after_seconds(F.col("x"), now)) == [(b,) for _, b in dates]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_canonical_json_and_required_values(spark):
+    assert values(spark, [('{"b": 1.0, "a": [1e-7, "é"]}',), (None,)], "x string", canonical_json(F.col("x"))) == [('{"a":[1e-07,"é"],"b":1.0}',), (None,)]
+    d = spark.createDataFrame([(1.0, 2.0)], "s double, e double")
+    assert tuple(d.select(required_interval(F.col("s"), F.col("e"), "core")).first()[0]) == (1.0, 2.0)
+    with pytest.raises(Exception, match="core is no valid interval"):
+        d.select(required_interval(F.col("e"), F.col("s"), "core")).collect()
+    with pytest.raises(Exception, match="no text"):
+        spark.sql("SELECT array(named_struct('text', ' ')) AS p").select(required_text(F.col("p"))).collect()

@@ -122,8 +122,8 @@ def test_manifest(spark, tmp_path):
 def test_configuration_readers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("index,mid,display_name\n0,/m/1,Glass\n1,/m/2,\"Chink, clink\"\n")
     assert [tuple(r) for r in readers.class_map(spark, str(tmp_path / "c.csv")).collect()] == [(0, "Glass"), (1, "Chink, clink")]
-    (tmp_path / "e.json").write_text(json.dumps({"events": [{"name": "x", "aliases": ["y"], "detector_labels": ["Glass"]}]}))
-    assert readers.event_config(spark, str(tmp_path / "e.json")).first().detector_labels == ["Glass"]
+    (tmp_path / "e.json").write_text(json.dumps({"events": [{"name": "x", "aliases": ["y"], "yamnet_labels": ["Glass"]}, {"name": "z", "detector_labels": ["Tap"]}]}))
+    assert [r.detector_labels for r in readers.event_config(spark, str(tmp_path / "e.json")).collect()] == [["Glass"], ["Tap"]]
     (tmp_path / "k.json").write_text(json.dumps({"version": 1, "items": [{"id": "i", "expected": True}]}))
     assert readers.catalog(spark, str(tmp_path / "k.json")).first().id == "i"
 
@@ -178,3 +178,22 @@ def test_resume(spark):
     assert [r.id for r in evaluation.resume(s, done, settings, settings).collect()] == ["b"]
     with pytest.raises(Exception, match="version"):
         evaluation.resume(s, done, settings, settings.withColumn("value", F.lit("5"))).collect()
+
+
+def test_resume_with_media(spark):
+    s = spark.createDataFrame([("a",), ("b",)], "id string")
+    done = spark.createDataFrame([("a", "ok")], "id string, status string")
+    media = lambda digest: spark.createDataFrame([("a", "p", digest)], "id string, path string, sha256 string")
+    settings = lambda stage, **more: runs.run_settings(spark, stage, {"sha256": "m"}, {"x": 1}, {"sha256": "l"}, {"model": "r", "base_url": "http://u/", **more})
+    assert [r.id for r in evaluation.resume(s, done, settings("full"), settings("full", base_url="http://u"), media("1"), media("1")).collect()] == ["b"]
+    for old, new, a, b in ((settings("full"), settings("audio"), "1", "1"), (settings("full"), settings("full", model="q"), "1", "1"), (settings("full"), settings("full"), "1", "2")):
+        with pytest.raises(Exception, match="stage|remote_model|media changed"):
+            evaluation.resume(s, done, old, new, media(a), media(b)).collect()
+    assert "remote_model" not in [r.key for r in settings("audio").collect()]
+    assert [(r.id, r.sha256) for r in runs.merged_media(media("1"), media("2")).collect()] == [("a", "2")]
+
+
+def test_cached_scans(spark):
+    rows = [(1, "i", '{"candidates": []}'), (1, "i", '{"candidates": 3}'), (1, "i", "no"), (2, "i", '{"candidates": []}'), (1, "j", '{"candidates": []}'), (1, "i", None)]
+    d = spark.createDataFrame(rows, "version int, identity string, answer string")
+    assert runs.cached_scans(d, 1, F.lit("i")).count() == 1
