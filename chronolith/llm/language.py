@@ -26,6 +26,7 @@ PER_LANGUAGE = 500
 MOST_ROWS = 4000
 MIN_BITS = 15
 AMBIGUOUS = 0.1
+LEAST_TRUST = 0.05
 UND = "und"
 _SEEDS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _letters: list[np.ndarray] = []
@@ -123,7 +124,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 100, d
     model = Coder(languages, code, w * scale, b * scale)
     right = (model.margins(x) * targets) > 0
     trust = np.array([right[y == k].mean(axis=0) for k in range(len(languages))]) if len(x) else np.ones_like(code)
-    model.trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9)
+    trust = np.maximum(trust, LEAST_TRUST)  # a language that no classifier gets right would else be at no distance from anything
+    model.trust = trust / trust.sum(axis=1, keepdims=True)
     return model
 
 

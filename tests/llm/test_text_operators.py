@@ -406,6 +406,53 @@ def test_whole_templates_are_found_wherever_they_stand():
     assert hidden
 
 
+def brute_chains(text, templates, least, gap):
+    """Maximal matches by comparing everywhere, then chains in template order, one template at a time."""
+    longest = [max((n for k in templates for e in range(1, len(k) + 1) for n in [next((n for n in range(min(e, i), 0, -1) if k[e - n : e] == text[i - n : i]), 0)]), default=0) for i in range(1, len(text) + 1)]
+    maximal = [(i, n) for i, n in enumerate(longest, 1) if n >= least and (i == len(text) or longest[i] <= n)]
+    out = []
+    for t, words in enumerate(templates):
+        chain = None
+        for end, n in maximal:
+            ends = [e for e in range(n, len(words) + 1) if words[e - n : e] == text[end - n : end]]
+            if not ends:
+                continue
+            start = end - n
+            if chain and 0 <= start - chain["end"] <= gap and (fit := [e for e in ends if 0 <= e - n - chain["at"] <= gap]):
+                chain |= {"end": end, "covered": chain["covered"] + n, "at": min(fit)}
+            elif chain and start < chain["end"] and n <= chain["covered"]:
+                pass
+            else:
+                if chain:
+                    out.append((t, chain["start"], chain["end"], chain["covered"]))
+                chain = {"start": start, "end": end, "covered": n, "at": min(ends)}
+        if chain:
+            out.append((t, chain["start"], chain["end"], chain["covered"]))
+    return sorted(out)
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(21)
+    for _ in range(150):
+        templates = [[rng.choice("abcdef") for _ in range(rng.randrange(4, 16))] for _ in range(4)]
+        machine = license_scan.SuffixAutomaton(templates, [])
+        text = []
+        for _ in range(4):
+            part = list(rng.choice(templates))
+            for _ in range(rng.randrange(3)):
+                part[rng.randrange(len(part))] = rng.choice("abcxyz")
+            text += part + [rng.choice("xyz")] * rng.randrange(4)
+        _, matches = machine.stream(text)
+        assert sorted(machine.spans(matches)) == brute_chains(text, templates, license_scan.MIN_MATCH, license_scan.MAX_GAP)
+
+
+def test_license_ties_and_many_equal_rows(spark):
+    both = (("one", "first second third fourth fifth"), ("two", "first second third fourth fifth"), ("two", "first second third fourth fifth sixth"))
+    d = spark.createDataFrame([(i % 3, "x first second third fourth fifth y", 1) for i in range(300)], "doc_id long, text string, spans int")
+    got = license_scan.scan(d, templates=both).collect()
+    assert len(got) == 300 and {tuple(sorted((s.label, s.start, s.covered, s.share) for s in r.spans)) for r in got} == {(("one", 1, 5, 1.0), ("two", 1, 5, 5 / 6), ("two", 1, 5, 1.0))}
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(9)
     templates = [[rng.choice("abc") for _ in range(rng.randrange(3, 12))] for _ in range(6)]
@@ -473,6 +520,12 @@ def test_codeword_decoding_equals_brute_force():
     assert clean[0] == "d" and model.decode(flipped)[0] == "d"  # one wrong bit is corrected
 
 
+def test_language_ties_and_many_equal_rows(spark):
+    same = [(i % 5, "alpha beta gamma", "en" if i % 2 else "fr", "a", 0) for i in range(200)]
+    got = language.identify(spark.createDataFrame(same, DOCS)).collect()
+    assert len(got) == 200 and len({r.lang_pred for r in got}) == 1 and all(r.score < 0.01 and r.ambiguous for r in got)
+
+
 def test_held_out(spark):
     d = spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in d)
