@@ -354,7 +354,8 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             yield from t.select(["set", *CELL, "side"]).take(pa.array(row)).append_column("level", pa.array(level, pa.int32())).to_batches()
 
     wanted = cut(in_cells(member.join(light, "set")).mapInArrow(tidy(need), "set long, tree int, key long, i int, j int, side int, level int"), "needed")
-    ids = wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash"), "set")
+    # a table of its own: its size is known, so texts stay where they are if it's small enough to be broadcast
+    ids = cut(wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash"), "set"), "wanted-sets")
 
     def grams_of(batches):
         for b in _pieces(batches, 512):
@@ -397,10 +398,10 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     used = {r["level"] for r in wanted.select("level").distinct().collect()}  # one row a level
     found, bands = None, {}
     if used:
-        grams = cut(grams, "grams")
+        grams = cut(grams.join(light, "set"), "grams")
     for at, depth in enumerate(levels):
         if at in used:
-            heavy = wanted.where(F.col("level") == at).drop("level").join(light, "set").join(grams, "set")
+            heavy = wanted.where(F.col("level") == at).drop("level").join(grams, "set")
             here = cut(in_cells(heavy).mapInArrow(tidy(verify(at)), "set long, links long, to long, bands array<long>"), "links")
             for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
                 bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
