@@ -15,7 +15,9 @@ target for all pairs.
 
 A pair that meets in several tries is handled in the first one. A large subtree is dealt
 into stripes by rows and by n-grams; pairs of stripes are separate cells of work, so no
-task holds more than two stripes of one. Exact similarities give each set's number of
+task holds more than two stripes of one. Joins of tables that
+grow with the documents are merge joins whatever their size, so a plan that is measured
+on little is the plan that runs on much. Exact similarities give each set's number of
 links; only these numbers and a spanning forest of the links leave a cell, never pairs.
 To count M sets' links among each other takes M * M / 2 comparisons: they are spread
 over cells, not saved. Components of the forests are the result's classes.
@@ -336,13 +338,13 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     reps = cut(reps.select(F.monotonically_increasing_id().alias("set"), "name", "rep.*", "copies", "n_grams", "keys", "deep"), "sets")
     tries = reps.select("set", "deep", F.posexplode("keys").alias("tree", "key")).select("set", "tree", "key", F.get("deep", "tree").alias("deep"))
     rows = cut(meeting(tries.repartitionByRange("tree", "key", "deep", "set").sortWithinPartitions("tree", "key", "deep")), "meeting")
-    full = rows.join(reps.select("set", "n_grams"), "set").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")
+    full = rows.join(reps.select("set", "n_grams").hint("merge"), "set").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")
     stripes = F.greatest(F.ceil(F.col("members") / STRIPE), F.ceil(F.col("grams") / STRIPE_GRAMS))
     full = full.select("tree", "key", F.least(stripes, "members").cast("int").alias("stripes"))
-    member = rows.join(full, ["tree", "key"]).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
+    member = rows.join(full.hint("merge"), ["tree", "key"]).withColumn("stripe", F.pmod(F.xxhash64("set", "tree"), F.col("stripes")).cast("int"))
     with_other = member.select("set", "tree", "key", "stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other"))
     member = with_other.select("set", "tree", "key", F.least("stripe", "other").alias("i"), F.greatest("stripe", "other").alias("j"), (F.col("stripe") > F.col("other")).cast("int").alias("side"))
-    light = reps.select("set", "n_grams", "copies", "keys", "deep")
+    light = reps.select("set", "n_grams", "copies", "keys", "deep").hint("merge")
     in_cells = lambda d: d.repartition(*CELL).sortWithinPartitions(*CELL, "side", "set")
 
     def need(batches):
@@ -354,7 +356,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             yield from t.select(["set", *CELL, "side"]).take(pa.array(row)).append_column("level", pa.array(level, pa.int32())).to_batches()
 
     wanted = cut(in_cells(member.join(light, "set")).mapInArrow(tidy(need), "set long, tree int, key long, i int, j int, side int, level int"), "needed")
-    ids = wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash"), "set")
+    ids = wanted.select("set").distinct().join(reps.select("set", "name", "doc_id", "text_hash").hint("merge"), "set")
 
     def grams_of(batches):
         for b in _pieces(batches, 512):
@@ -362,7 +364,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
             same = pa.array([digest(x) == y for x, y in zip(g, b.column("name").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([x.tobytes() for x in g], pa.binary())], ["set", "grams"]).filter(same)
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids.hint("merge"), ["doc_id", "text_hash"])
     grams = texts.select("set", "name", "text").mapInArrow(tidy(grams_of), "set long, grams binary").dropDuplicates(["set"])
 
     def verify(at):
@@ -400,7 +402,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
         grams = cut(grams.join(light, "set"), "grams")
     for at, depth in enumerate(levels):
         if at in used:
-            heavy = wanted.where(F.col("level") == at).drop("level").join(grams, "set")
+            heavy = wanted.where(F.col("level") == at).drop("level").join(grams.hint("merge"), "set")
             here = cut(in_cells(heavy).mapInArrow(tidy(verify(at)), "set long, links long, to long, bands array<long>"), "links")
             for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
                 bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
@@ -417,6 +419,6 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
         own = own.join(classes, "set", "left").join(counts, "set", "left").withColumns({"root": F.coalesce("root", "set"), "links": F.coalesce("links", F.lit(0).cast("long"))})
     first = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("name").alias("first"))
     own = own.join(first, "root").select("name", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.xxhash64("first").alias("class_key"))
-    out = sig.select("doc_id", "name", "n_grams").join(own, "name", "left")
+    out = sig.select("doc_id", "name", "n_grams").join(own.hint("merge"), "name", "left")
     alone = F.col("doc_id").isNull() | F.col("name").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"), "n_grams", F.when(~alone, F.col("class_key")).alias("class_key"))
