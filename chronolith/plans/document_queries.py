@@ -241,25 +241,23 @@ def a_temporal_strict(spark, sf):
 
 @query()
 def a_coverage_rates(spark, sf):
-    """Complete coverage of all and of matched events, with predictions widened as clips; no SQL, as in a_mean_errors_all."""
+    """Complete coverage of all and of matched events, with predictions widened as clips; no SQL, as in a_mean_errors."""
     t, p = truth_and_predictions(spark, sf)
     m = matching.match(matching.iou_edges(t, p, ["vid", "grp"]), ["vid", "grp"])
     m = m.withColumns({"p_clip_start": F.col("p_start") - 0.5, "p_clip_end": F.col("p_end") + 0.5})
     return metrics.temporal(t, p, m, matching.matching_size(_coverage(spark, sf), ["vid", "grp"])).select("tp", "complete", "complete_coverage_recall", "complete_coverage_rate_on_matched")
 
 
-@query(EDGES + """, o AS (SELECT * FROM e WHERE iou >= 0.1::DOUBLE), u AS (SELECT *, count(*) OVER (PARTITION BY vid, grp) AS k FROM o)
-SELECT count(*)::BIGINT AS n, round(avg(iou), 4) AS mean_iou, round(avg(abs(p_start - t_start)), 4) AS mean_start_error, round(avg(abs(p_end - t_end)), 4) AS mean_end_error FROM u WHERE k = 1""")
-def a_mean_errors(spark, sf):
-    """Errors of the groups that have one edge, whose matching is that edge."""
-    m = matching.match(matching.iou_edges(*truth_and_predictions(spark, sf), ["vid", "grp"]), ["vid", "grp"])
-    e = matching.iou_edges(*truth_and_predictions(spark, sf), ["vid", "grp"]).groupBy("vid", "grp").count().where("count = 1")
-    m = m.join(e, ["vid", "grp"], "left_semi")
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.avg("start_error"), 4).alias("mean_start_error"), F.round(F.avg("end_error"), 4).alias("mean_end_error"))
+@query(_matchings(RECURSIVE + ", x AS (SELECT *, round(iou * 1000000000.0::DOUBLE)::BIGINT AS weight FROM e WHERE iou >= 0.1::DOUBLE)").replace("SELECT b.vid, b.grp, b.matches::BIGINT", ", z AS (SELECT b.vid, b.grp, b.matches::BIGINT", 1) + """)
+SELECT sum(matches)::BIGINT AS n, round(sum(weight)::DOUBLE / 1000000000.0::DOUBLE / sum(matches)::DOUBLE, 4) AS mean_iou FROM z""")
+def a_mean_iou(spark, sf):
+    """Mean IoU of all matched pairs: the same for every best matching."""
+    t, p = truth_and_predictions(spark, sf)
+    return metrics.temporal(t, p, matching.match(matching.iou_edges(t, p, ["vid", "grp"]), ["vid", "grp"])).select(F.col("tp").alias("n"), "mean_iou")
 
 
 @query()
-def a_mean_errors_all(spark, sf):
+def a_mean_errors(spark, sf):
     """Errors of all matched pairs; no SQL, as it can't settle which of several best matchings counts."""
     t, p = truth_and_predictions(spark, sf)
     m = metrics.temporal(t, p, matching.match(matching.iou_edges(t, p, ["vid", "grp"]), ["vid", "grp"]))
@@ -399,15 +397,9 @@ def s_manifest_checks(spark, sf):
     return readers.manifest_problems(d)
 
 
-@query("SELECT doc_id::VARCHAR AS id, doc_id AS pos FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3') ORDER BY doc_id LIMIT 25")
-def f_manifest_select(spark, sf):
-    d = table(spark, sf, "documents").where("source IN ('src1', 'src2', 'src3')").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("split"))
-    return readers.selected(d, split="en", limit=25).select("id", "pos")
-
-
 @query("SELECT doc_id::VARCHAR AS id, doc_id AS pos FROM documents WHERE lang = 'en' AND doc_id IN (SELECT unnest(range(0, 300, 2))) ORDER BY doc_id LIMIT 25")
-def f_manifest_select_all(spark, sf):
-    """Split, ids and limit over all documents; f_manifest_select's SQL is of three sources."""
+def f_manifest_select(spark, sf):
+    """The selection's own split, ids and limit, over all documents."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("split"))
     return readers.selected(d, split="en", ids=[str(i) for i in range(0, 300, 2)], limit=25).select("id", "pos")
 
