@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .media import _pieces
-from .shared import cut, tidy
+from .shared import cut, discard, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -332,10 +332,12 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
     shortest = depth_for(similarity, recall, trees, deepest)
     deepest = min(deepest, shortest + 8)
     levels = levels_of(shortest, deepest)
-    sig = cut(signatures(docs, n, trees, shortest, deepest), "signatures")
-    some = sig.where("name IS NOT NULL AND doc_id IS NOT NULL")
+    wide = cut(signatures(docs, n, trees, shortest, deepest), "signatures")
+    some = wide.where("name IS NOT NULL AND doc_id IS NOT NULL")
     reps = some.groupBy("name").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys"), F.first("deep").alias("deep"))
     reps = cut(reps.select(F.monotonically_increasing_id().alias("set"), "name", "rep.*", "copies", "n_grams", "keys", "deep"), "sets")
+    sig = cut(wide.select("doc_id", "name", "n_grams"), "names")
+    discard(wide)
     tries = reps.select("set", "deep", F.posexplode("keys").alias("tree", "key")).select("set", "tree", "key", F.get("deep", "tree").alias("deep"))
     rows = cut(meeting(tries.repartitionByRange("tree", "key", "deep", "set").sortWithinPartitions("tree", "key", "deep")), "meeting")
     full = rows.join(reps.select("set", "n_grams").hint("merge"), "set").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams")).where("members > 1")

@@ -37,7 +37,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/chronolith-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `cut` wrote and returned; nothing may read it any more."""
+    spark, path = df.sparkSession, df._cut_path
+    _made.remove(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
