@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, files
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,15 +20,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each node's component, for edges (a, b) of any type that can be ordered; nodes without edges to others are absent.
 
-    Every round is written to the shared folder; the rounds grow with the logarithm
-    of the longest path.
+    Every round is written to the shared folder, in few files if edges are few (no
+    round has more than the one before); the rounds grow with the logarithm of the
+    longest path. `edges` are counted first, so they should be stored.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    rows = edges.count()
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().coalesce(files(rows)), "edges")
     before = None
     for _ in range(most_rounds):
-        e = cut(_star(_star(e, True), False), "edges")
+        e = cut(_star(_star(e, True), False).coalesce(files(rows)), "edges")
         s = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(s) == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(s)
+        before, rows = tuple(s), s[0]
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

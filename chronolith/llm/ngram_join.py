@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .media import _pieces
-from .shared import cut, discard, tidy
+from .shared import cut, discard, files, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -398,14 +398,14 @@ def join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall
 
         return run
 
-    used = {r["level"] for r in wanted.select("level").distinct().collect()}  # one row a level
+    used = {r["level"]: r["count"] for r in wanted.groupBy("level").count().collect()}  # one row a level
     found, bands = None, {}
     if used:
         grams = cut(grams.join(light, "set"), "grams")
     for at, depth in enumerate(levels):
         if at in used:
             heavy = wanted.where(F.col("level") == at).drop("level").join(grams.hint("merge"), "set")
-            here = cut(in_cells(heavy).mapInArrow(tidy(verify(at)), "set long, links long, to long, bands array<long>"), "links")
+            here = cut(in_cells(heavy).mapInArrow(tidy(verify(at)), "set long, links long, to long, bands array<long>").repartition(files(used[at])), "links")
             for r in here.where("bands IS NOT NULL").select(F.posexplode("bands").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row a band
                 bands[r["k"]] = bands.get(r["k"], 0) + r["x"]
             here = here.where("set IS NOT NULL").drop("bands")

@@ -11,6 +11,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a stored table of a few numbers a row that one file may hold.
+FILE_ROWS = 1 << 18
+
 _made: list[str] = []
 _own: list[str] = []
 
@@ -42,6 +45,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def files(rows: int) -> int:
+    """How many partitions, and so files, a table of at most so many short rows is stored in: on local disks each file also starts processes that set its mode."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `cut` wrote and returned; nothing may read it any more."""
     spark, path = df.sparkSession, df._cut_path

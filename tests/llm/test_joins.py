@@ -117,6 +117,32 @@ def test_join_of_one_id_on_many_texts(spark):
     assert [x for x in got if x[0] != 7] == [(8, 8, 1), (9, 8, 1)] and sum(x == (7, 7, 0) for x in got) == 300
 
 
+def test_links_and_edges_are_stored_in_few_files(spark, monkeypatch):
+    stored = {"links": [], "edges": []}
+
+    def counted(df, name):
+        out = shared.cut(df, name)
+        stored.get(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    monkeypatch.setattr(components, "cut", counted)
+    rows = near_copies(random.Random(8), 60)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        assert joined(spark, rows) == brute_join(rows)
+        assert stored["links"] and set(stored["links"]) == {1} and len(stored["edges"]) > 1 and set(stored["edges"]) == {1}
+        monkeypatch.setattr(shared, "FILE_ROWS", 16)
+        stored["links"].clear(), stored["edges"].clear()
+        assert joined(spark, rows) == brute_join(rows)
+        assert max(stored["links"]) > 1 and max(stored["edges"]) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (200, 199)]
