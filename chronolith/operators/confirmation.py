@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ def stable_id(cid: Column, occurrence: Column, start: Column, end: Column) -> Co
     return F.format_string("%s:%s:%.3f-%.3f", cid, occurrence.cast("string"), start, end)
 
 
-def local_events(answers: DataFrame, keys: list[str], answer: str = "answer", clip_duration: str = "clip_duration", tolerance: float = C.BOUND_TOLERANCE) -> DataFrame:
+def local_events(answers: DataFrame, keys: list[str], answer: str = "answer", clip_duration: str = "clip_duration", tolerance: float = C.BOUND_TOLERANCE, read: Callable[[Column], Column] = as_confidence) -> DataFrame:
     """keys, pos, event_start, event_end, confidence, visual_evidence, audio_evidence, reason: clip-local events of VARIANT answers.
 
     The answer's events array, or the answer itself as one event where it has no such
     field. Bounds outside the clip by more than the tolerance, out of order or not
     finite drop the event; the rest is clamped to the clip. Missing fields are the
-    answer's own.
+    answer's own. `read` makes a confidence of the number: a model's may be percent.
     """
     a = F.col(answer)
     listed = F.schema_of_variant(F.try_variant_get(a, "$.events", "variant"))
@@ -42,7 +44,7 @@ def local_events(answers: DataFrame, keys: list[str], answer: str = "answer", cl
     length = F.col(clip_duration)
     d = d.where((F.col("_s") >= -tolerance) & (F.col("_e") <= length + tolerance) & (F.col("_e") > F.col("_s")) & ~F.isnan("_s") & ~F.isnan("_e"))
     clamp = lambda x: fixed(F.greatest(F.lit(0.0), F.least(length, x)))
-    out = d.select(*keys, "pos", clamp(F.col("_s")).alias("event_start"), clamp(F.col("_e")).alias("event_end"), as_confidence(F.coalesce(_number(v, "$.confidence"), top)).alias("confidence"), text("visual_evidence").alias("visual_evidence"), text("audio_evidence").alias("audio_evidence"), text("reason").alias("reason"))
+    out = d.select(*keys, "pos", clamp(F.col("_s")).alias("event_start"), clamp(F.col("_e")).alias("event_end"), read(F.coalesce(_number(v, "$.confidence"), top)).alias("confidence"), text("visual_evidence").alias("visual_evidence"), text("audio_evidence").alias("audio_evidence"), text("reason").alias("reason"))
     return out.where("event_end > event_start")
 
 

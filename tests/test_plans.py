@@ -43,6 +43,31 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert cells([tuple(r) for r in d.collect()], d.columns) == cells(c.fetchall(), columns)
 
 
+def duck_over(d):
+    """DuckDB over a folder's tables, read in their order (one thread)."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in os.listdir(d):
+        con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{d}/{t}{'/*.parquet' if os.path.isdir(f'{d}/{t}') else ''}'")
+    return con
+
+
+def write_table(d, name, sql):
+    """A table of DuckDB's SQL in a folder, in one file."""
+    duckdb.connect().execute(f"COPY ({sql}) TO '{d}/{name}.parquet'")
+
+
+def test_end_to_end_keeps_scores_above_one(spark, tmp_path):
+    frames = [(0, 0.2, 7, "error", 520.0), (1, 9.4, 7, "error", 530.0), (2, 30.0, 7, "view", 700.0), (3, 31.0, 8, "click", 300.0), (4, 50.0, 8, "view", 100.0), (5, 70.0, 8, "error", 50000.0)]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + to_microseconds({int(t * 21.6e9)}), {vid}, '{kind}', {value}::DOUBLE, '{{}}')" for i, t, vid, kind, value in frames)
+    write_table(tmp_path, "events", f"SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)")
+    d = stand_ins.QUERIES["e2e_pipeline"](spark, str(tmp_path))
+    c = duck_over(tmp_path).execute(stand_ins.ORACLE_SQL["e2e_pipeline"])
+    columns = [x[0] for x in c.description]
+    assert cells([tuple(r) for r in d.collect()], d.columns) == cells(want := c.fetchall(), columns)
+    assert sorted(r[columns.index("confidence")] for r in want) == [0.6, 1.04, 1.06, 1.4, 100.0]
+
+
 def best_matchings(edges):
     """All matchings of (true event, prediction, weight, errors) rows with most pairs and, among those, most weight."""
     found = [[]]
