@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clip_bounds, clock, fixed, iou, overlap_fraction, padded_bounds, range_label, same_core, source_core, tolerant_bounds, valid_interval
@@ -334,5 +335,10 @@ def s_sparse_sample(spark, sf):
 
 @query(f"""WITH {FRAMES} SELECT vid, floor(st)::BIGINT AS second, {R('avg(score * -60.0::DOUBLE)', 1)} AS mean_db, count(*)::BIGINT AS n FROM f GROUP BY ALL""")
 def a_mean_per_second(spark, sf):
-    d = frames(spark, sf).groupBy("vid", F.floor("start").alias("second"))
-    return d.agg(fixed(F.avg(F.col("score") * -60.0), 1).alias("mean_db"), F.count(F.lit(1)).alias("n"))
+    # Added up in the table's order, as SQL on one thread does: a sum in another order can put a tie on its other side.
+    at = ["_metadata.file_path", "_metadata.row_index"]
+    d = frames(spark, sf).select("vid", F.floor("start").alias("second"), (F.col("score") * -60.0).alias("db"), *at)
+    w = Window.partitionBy("vid", "second").orderBy("file_path", "row_index")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.select("vid", "second", fixed(F.avg("db").over(so_far), 1).alias("mean_db"), F.count(F.lit(1)).over(so_far).alias("n"), F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    return d.where("_last").drop("_last")

@@ -68,6 +68,21 @@ def test_end_to_end_keeps_scores_above_one(spark, tmp_path):
     assert sorted(r[columns.index("confidence")] for r in want) == [0.6, 1.04, 1.06, 1.4, 100.0]
 
 
+def test_mean_per_second_adds_up_in_the_tables_order(spark, tmp_path):
+    values = [(196.5, 473.2, 114.05), (304.2, 102.55, 12.0), (276.25, 299.3, 465.7), (72.25, 255.8, 428.2), (82.1, 124.35, 182.3), (437.0, 142.4, 49.35)]
+    (tmp_path / "events.parquet").mkdir()
+    for part, which in (("b", (1, 2)), ("a", (0,))):
+        rows = ", ".join(f"({10 - i}, TIMESTAMP '2024-01-01', {vid}, 'click', {v[i]}::DOUBLE, '{{}}')" for vid, v in enumerate(values) for i in which)
+        write_table(tmp_path / "events.parquet", part, f"SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = stand_ins.QUERIES["a_mean_per_second"](spark, str(tmp_path)).select("vid", "second", "mean_db", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert sorted(map(tuple, got)) == sorted(duck_over(tmp_path).execute(stand_ins.ORACLE_SQL["a_mean_per_second"]).fetchall())
+
+
 def best_matchings(edges):
     """All matchings of (true event, prediction, weight, errors) rows with most pairs and, among those, most weight."""
     found = [[]]
