@@ -83,6 +83,14 @@ def test_mean_per_second_adds_up_in_the_tables_order(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(duck_over(tmp_path).execute(stand_ins.ORACLE_SQL["a_mean_per_second"]).fetchall())
 
 
+def test_pages_are_cleaned_of_the_sqls_entities_only(spark, tmp_path):
+    pages = ["token = &quot<p>x</p>", "&quot;&#39;&lt;&amp;lt;&ampgt; &copy; &copy=1 &middot", "caf&eacute; &#233; &AMP;", "&am<b>p;", "a<\nb>c<>d<", "\xa0\t a \x0b\x0c\r\n", "\x1c\x85\u2003a\u2003\x1f", " \u0301a\u0301 ", "a\x01b", "&nbsp;&nbsp;a&nbsp;", "", "<p></p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = stand_ins.QUERIES["p_clean_html"](spark, str(tmp_path)).collect()
+    want = duck_over(tmp_path).execute(stand_ins.ORACLE_SQL["p_clean_html"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and dict(want)[0] == "token = &quotx"
+
+
 def best_matchings(edges):
     """All matchings of (true event, prediction, weight, errors) rows with most pairs and, among those, most weight."""
     found = [[]]
